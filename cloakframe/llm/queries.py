@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, language_id, line_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op3_line_dedup": line_dedup.query,
+    "op5_language_id": language_id.query,
+    "op7_quality": quality.query,
+    "op8_packing": packing.query,
+    "op9_toxicity": toxicity.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 
