@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, packing, quality, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, packing, quality, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_decontamination": decontamination.query,
     "op5_language_id": language_id.query,
     "op7_quality": quality.query,
     "op8_packing": packing.query,
