@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,7 +90,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept for ordinary blocks only."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, 2 * BLOCK_BYTES)
         with np.errstate(over="ignore"):
             have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
         if size <= 4 * BLOCK_BYTES:
@@ -152,6 +153,54 @@ def sequences(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.nda
     return mix(acc[ok[: total - size + 1]]), runs
 
 
+# -- runs of integers in a cell -----------------------------------------------------------------------------------
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: small numbers and small differences take little room."""
+    wide = np.ascontiguousarray(a.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(wide.tobytes())
+
+
+def expand(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def squeeze_sorted(a: np.ndarray) -> bytes:
+    return squeeze(np.diff(a, prepend=np.uint64(0)))
+
+
+def expand_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(expand(b), dtype=np.uint64)
+
+
+# -- connected components -------------------------------------------------------------------------------------------
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of undirected edges (a, b): component is the smallest node reachable.
+
+    Alternating large-star and small-star steps; each round is written to the shared folder. A node with very many
+    neighbours is handled by partial aggregation and by joins that adaptive execution can split."""
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    e, before = materialize(e, "edges"), None
+    while True:
+        print_of = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+        if (now := (print_of.n, print_of.h)) == before or not print_of.n:
+            break
+        before = now
+        # large star: larger neighbours of u hang from the smallest of u and its neighbours
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: u and its smaller neighbours hang from the smallest of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        e = materialize(small.select(F.col("m").alias("a"), F.col("v").alias("b")).union(small.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct(), "edges")
+    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
 # -- bitmaps: a filter of bounded size in front of an exact join ---------------------------------------------------
 
 BITMAP_MAX_BITS = 1 << 29

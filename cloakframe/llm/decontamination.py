@@ -79,7 +79,7 @@ class Index:
         for k, x in enumerate(self.items):
             t, c = np.unique(np.searchsorted(self.terms, x[3]), return_counts=True)
             term.append(t), item.append(np.full(len(t), k)), tf.append(c)
-        self.postings = None
+        self.blocks = 0
         if not n:
             return
         term, item, tf = (np.concatenate(a) for a in (term, item, tf))
@@ -87,29 +87,29 @@ class Index:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
         impact = (weight / np.bincount(item, weight, n)[item]).astype(np.float32)
-        order = np.lexsort((item, term))
-        self.postings = item[order], impact[order], np.searchsorted(term[order], np.arange(len(self.terms) + 1))
         self.blocks = -(-n // BLOCK_ITEMS)
         self.block_max = np.zeros((len(self.terms), self.blocks), np.float32)
         np.maximum.at(self.block_max, (term, item // BLOCK_ITEMS), impact)
+        self.opened = []
+        for block in range(self.blocks):  # postings of a block: its terms, and a row of impacts for each
+            mine = item // BLOCK_ITEMS == block
+            own = np.unique(term[mine])
+            rows = np.zeros((len(own) + 1, BLOCK_ITEMS), np.float32)
+            rows[np.searchsorted(own, term[mine]), item[mine] % BLOCK_ITEMS] = impact[mine]
+            self.opened.append((own, rows))
         self.grams = [(_grams(q), min(GRAM, max(1, len(q))), _grams(a), min(GRAM, max(1, len(a)))) for _, q, a, _ in self.items]
 
-    def score(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
-        """Exact scores of the items of one block against a passage's distinct terms."""
-        at, impact, starts = self.postings
-        total = np.zeros(BLOCK_ITEMS)
-        lo, hi = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
-        for t in terms[self.block_max[terms, block] > 0]:
-            a = starts[t] + np.searchsorted(at[starts[t] : starts[t + 1]], lo)
-            while a < starts[t + 1] and at[a] < hi:
-                total[at[a] - lo] += impact[a]
-                a += 1
-        return [(lo + k, float(s)) for k, s in enumerate(total) if s > 0]
+    def scores(self, block: int, terms: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Exact scores (passages, items) of an opened block for passages given as runs of distinct terms."""
+        own, rows = self.opened[block]
+        at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
+        at[own[at] != terms] = len(own)
+        return np.add.reduceat(rows[at], np.cumsum(lengths) - lengths, axis=0)
 
     def search(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item, score, question overlap, answer overlap) of every retrieved passage."""
         hashes, counts = words(data, offsets, PUNCT)
-        if not len(hashes) or self.postings is None:
+        if not len(hashes) or not self.blocks:
             return
         step = self.stride
         slot = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
@@ -130,23 +130,31 @@ class Index:
         row_of = np.repeat(np.arange(len(counts)), per)
         joined = np.concatenate([row_of[1:] == row_of[:-1], [False]])
         upper = bound[:-1] + np.where(joined[:, None], bound[1:], 0)
-        ends = np.concatenate([cuts[1:], [len(pair)]])
-        where = dict(zip(stride[cuts].tolist(), zip(cuts.tolist(), ends.tolist(), strict=True), strict=True))
-        last = -1
-        for p, block in np.argwhere(upper >= threshold - 1e-5).tolist():
-            if p != last:
-                spans = [where[s] for s in ((p, p + 1) if joined[p] else (p,)) if s in where]
-                terms = np.unique(np.concatenate([term[a:b] for a, b in spans]))
+        hit_p, hit_block = np.nonzero(upper >= threshold - 1e-5)
+        if not len(hit_p):
+            return
+        # the distinct terms of every passage with a block to open
+        passages = np.unique(hit_p)
+        low, high = np.searchsorted(stride, passages), np.searchsorted(stride, passages + 1 + joined[passages])
+        each = high - low
+        of = np.repeat(np.arange(len(passages)), each)
+        entries = np.unique(of * len(self.terms) + term[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low, each)])
+        starts = np.searchsorted(entries, np.arange(len(passages) + 1) * len(self.terms))
+        entries %= len(self.terms)
+        hit = np.searchsorted(passages, hit_p)
+        for block in np.unique(hit_block):
+            mine = hit[hit_block == block]
+            lengths = starts[mine + 1] - starts[mine]
+            terms = entries[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts[mine], lengths)]
+            found = self.scores(int(block), terms, lengths)
+            for m, k in np.argwhere(found >= threshold - 1e-5).tolist():
+                p, item = passages[mine[m]], int(block) * BLOCK_ITEMS + k
                 r = row_of[p]
                 a = first[r] + (p - base[r]) * step
-                inside, last, grams = hashes[a : min(a + 2 * step, first[r] + counts[r])], p, {}
-            for k, s in self.score(terms, block):
-                if s >= threshold - 1e-5:
-                    q, qn, w, wn = self.grams[k]
-                    for size in {qn, wn} - grams.keys():
-                        grams[size] = np.unique(sequences(inside, np.array([len(inside)]), size)[0])
-                    share = lambda g, size: float(np.isin(g, grams[size]).mean()) if len(g) else 1.0
-                    yield r, k, s, share(q, qn), share(w, wn)
+                inside = hashes[a : min(a + 2 * step, first[r] + counts[r])]
+                q, qn, w, wn = self.grams[item]
+                share = lambda g, size, inside=inside: float(np.isin(g, sequences(inside, np.array([len(inside)]), size)[0]).mean()) if len(g) else 1.0
+                yield int(r), item, float(found[m, k]), share(q, qn), share(w, wn)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", question_col: str | None = None, answer_col: str | None = None, threshold: float = THRESHOLD, question_overlap: float = QUESTION_OVERLAP, answer_overlap: float = ANSWER_OVERLAP) -> DataFrame:

@@ -24,13 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, materialize, sequences, text_blocks, words
+from .common import documents, expand, materialize, sequences, squeeze, text_blocks, words
 
 ORDER, MIN_COUNT, ALPHA = 3, 2, 0.4
 #: Bytes of text in a unit, and words of the corpus for each bucket of the count tables.
@@ -38,17 +37,6 @@ UNIT_BYTES, BUCKET_WORDS = 6 << 20, 3 << 20
 HASH_BITS = 48
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Integers as compressed byte planes: small numbers and small differences take little room."""
-    wide = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(wide.tobytes())
-
-
-def expand(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1)
-
-
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units of documents: ids, words of each document, and the words as places in a sorted vocabulary."""
     base, made = TaskContext.get().partitionId() << 32, 0

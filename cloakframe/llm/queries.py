@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, packing, quality, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_jaccard, packing, quality, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
+    "op2_ngram_jaccard": ngram_jaccard.query,
     "op3_line_dedup": line_dedup.query,
     "op4_decontamination": decontamination.query,
     "op5_language_id": language_id.query,
