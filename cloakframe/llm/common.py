@@ -175,6 +175,12 @@ def expand_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(expand(b), dtype=np.uint64)
 
 
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For keys that are hashes: which may be in the bitmap."""
+    slot = (hashes.view(np.uint64) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 # -- connected components -------------------------------------------------------------------------------------------
 
 
@@ -206,10 +212,11 @@ def components(edges: DataFrame) -> DataFrame:
 BITMAP_MAX_BITS = 1 << 29
 
 
-def bitmap_of(keys: DataFrame, column: str, count: int | None = None) -> tuple[np.ndarray, int]:
-    """A bitmap of hashed long keys, about 16 bits a key and 64 MB at most, or-ed together on the executors.
-    It has no false negatives; past the bound more false positives pass, which the exact join behind it removes."""
-    count = keys.count() if count is None else count
+def bitmap_of(keys: DataFrame, column: str, hashed: bool = False) -> tuple[np.ndarray, int]:
+    """A bitmap of long keys by their hash (or by themselves, if they are hashes): about 16 bits a key and 64 MB at
+    most, or-ed together on the executors. It has no false negatives; past the bound more false positives pass,
+    which the exact step behind it removes."""
+    count = keys.count()
     bits = 1 << min(29, max(16, math.ceil(math.log2(max(1, count) * 16))))
     spans = max(1, bits >> 16)
 
@@ -221,7 +228,7 @@ def bitmap_of(keys: DataFrame, column: str, count: int | None = None) -> tuple[n
         for s, v in part.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["span", "bits"])
 
-    slots = keys.select(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("slot")).select(
+    slots = keys.select(F.pmod(F.col(column) if hashed else F.xxhash64(F.col(column)), F.lit(bits)).alias("slot")).select(
         F.shiftright("slot", 16).cast("int").alias("span"), F.col("slot").bitwiseAND(65535).cast("int").alias("at")
     ).distinct()
     out = np.zeros((spans, 8192), np.uint8)

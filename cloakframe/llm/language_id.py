@@ -204,28 +204,37 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return net
 
 
-def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, lang_probs, lang_positions): the pooled probabilities and the number of positions
-    labelled with each language, for the whole text."""
-    schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_probs", T.MapType(T.StringType(), T.DoubleType())), T.StructField("lang_positions", T.MapType(T.StringType(), T.LongType()))])
+    labelled with each language, for the whole text. With ``keep``: all columns of the rows, and _pred."""
+    out = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_probs", T.MapType(T.StringType(), T.DoubleType())), T.StructField("lang_positions", T.MapType(T.StringType(), T.LongType()))]
+    if keep:
+        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema], T.StructField("_pred", T.StringType())])
+    else:
+        schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), *out])
     names = net.languages if net else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_blocks(batch.column(1), BLOCK):
+            letters = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in text_blocks(batch.column(0), BLOCK):
                 n = hi - lo
                 prob, seen = net.pooled(data, offsets) if net else (np.zeros((n, 0)), np.zeros((n, 0), np.int64))
                 known = letters[lo:hi].astype(bool) & (len(names) > 0)
                 best = prob.argmax(axis=1) if names else np.zeros(n, int)
-                score = np.where(known, prob.max(axis=1) if names else 0.0, 0.0)
                 lang = pa.array([names[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], pa.string())
+                rest = [c.slice(lo, n) for c in batch.columns[2:]]
+                if keep:
+                    yield pa.RecordBatch.from_arrays([*rest, lang], schema.names)
+                    continue
+                score = np.where(known, prob.max(axis=1) if names else 0.0, 0.0)
                 keys, offs = pa.array(names * n, pa.string()), pa.array(np.arange(n + 1) * len(names), pa.int32())
                 maps = [pa.MapArray.from_arrays(offs, keys, pa.array(a.reshape(-1), t)) for a, t in ((prob, pa.float64()), (seen, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), lang, pa.array(np.clip(score, 0, 1)), *maps], schema.names)
+                yield pa.RecordBatch.from_arrays([*rest, lang, pa.array(np.clip(score, 0, 1)), *maps], schema.names)
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), letter.alias("letter")).mapInArrow(run, schema)
+    carried = [F.col(f"`{c}`") for c in df.columns] if keep else [F.col(id_col).alias("doc_id")]
+    return df.select(F.col(text_col).alias("_text"), letter.alias("_letter"), *carried).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

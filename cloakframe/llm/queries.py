@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_jaccard, packing, quality, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_jaccard, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_decontamination": decontamination.query,
     "op5_language_id": language_id.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_quality": quality.query,
     "op8_packing": packing.query,
     "op9_toxicity": toxicity.query,
