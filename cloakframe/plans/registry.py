@@ -1,4 +1,369 @@
 """Named queries over the shared tables, with the SQL that they are held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..engine import scan
+from ..functions import validators
+from ..functions import similarity as sim
+from ..functions.names import STOP_WORDS, WORD_OR_INITIAL, name_spans
+from ..functions.patterns import ANY_TYPE, TYPES, pattern_spans
+from ..operators import linkage, sanitize, session
+from ..operators.detect import detect, detect_records, exploded, survivors, without_overlap
+from . import risk
+
+PATTERNS = ("patterns",)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- SQL pieces ------------------------------------------------------------------------------------------------------
+
+
+def sql_string(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_located(source: str, key: str, text: str, pattern: str) -> str:
+    """(key, k, m, s, e): all matches of a pattern with their places, the way the library finds them."""
+    p = sql_string(pattern)
+    return f"""
+SELECT {key}, k, m, (sum(length(g)) OVER w + sum(length(m)) OVER w - length(m))::INT AS s, (sum(length(g)) OVER w + sum(length(m)) OVER w)::INT AS e
+FROM (SELECT {key}, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g
+      FROM (SELECT {key}, regexp_extract_all({text}, {p}) AS ms, string_split_regex({text}, {p}) AS gs FROM {source}))
+WINDOW w AS (PARTITION BY {key} ORDER BY k ROWS UNBOUNDED PRECEDING)"""
+
+
+SQL_TYPE = "CASE " + " ".join(f"WHEN regexp_full_match(m, {sql_string(p)}) THEN '{t}'" for t, p in TYPES.items()) + " END"
+
+
+def sql_luhn(x: str) -> str:
+    d = f"translate({x}, ' -', '')"
+    return f"(regexp_full_match({d}, '[0-9]{{13,19}}') AND list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse({d}), i, 1)::INT ELSE (substr(reverse({d}), i, 1)::INT * 2) // 10 + (substr(reverse({d}), i, 1)::INT * 2) % 10 END)) % 10 = 0)"
+
+
+def sql_ip(x: str) -> str:
+    parts = f"string_split({x}, '.')"
+    return f"(len({parts}) = 4 AND len(list_filter({parts}, lambda p: NOT coalesce(TRY_CAST(p AS INT) BETWEEN 0 AND 255, false))) = 0 AND len(list_filter({parts}, lambda p: TRY_CAST(p AS INT) > 9)) > 0)"
+
+
+def sql_cpf(x: str) -> str:
+    d = f"translate({x}, '.-', '')"
+    total = lambda n: "(" + " + ".join(f"substr({d}, {k + 1}, 1)::INT * {n + 1 - k}" for k in range(n)) + ") % 11"
+    digit = lambda n: f"CASE WHEN {total(n)} < 2 THEN 0 ELSE 11 - {total(n)} END"
+    return f"CASE WHEN NOT regexp_full_match({d}, '[0-9]{{11}}') THEN false WHEN {d} = repeat(substr({d}, 1, 1), 11) THEN false ELSE substr({d}, 10, 1)::INT = {digit(9)} AND substr({d}, 11, 1)::INT = {digit(10)} END"
+
+
+def sql_entities(source: str, key: str, text: str = "text") -> str:
+    """(key, entity_type, entity_text, start, end, confidence) of the identifiers."""
+    return f"""
+SELECT {key}, t AS entity_type, m AS entity_text, s AS "start", e AS "end", CASE WHEN t IN ('EMAIL_ADDRESS', 'BRAZILIAN_CPF', 'CREDIT_CARD', 'IP_ADDRESS') THEN 1.0::DOUBLE ELSE 0.95::DOUBLE END AS confidence
+FROM (SELECT *, {SQL_TYPE} AS t FROM ({sql_located(source, key, text, ANY_TYPE)}))
+WHERE CASE WHEN t = 'CREDIT_CARD' THEN {sql_luhn("m")} WHEN t = 'BRAZILIAN_CPF' THEN {sql_cpf("m")} WHEN t = 'IP_ADDRESS' THEN {sql_ip("m")} ELSE true END"""
+
+
+def sql_names(source: str, key: str, text: str = "text") -> str:
+    """(key, name, start, end): islands of capitalized words and initials."""
+    plain = f"regexp_replace({text}, '[^\\x00-\\x7F]', '_', 'g')"  # its word boundaries know ASCII only: other letters become word signs
+    stops = ", ".join(sql_string(w) for w in STOP_WORDS)
+    return f"""
+SELECT {key}, substr(any_value({text}), min(s) + 1, max(e) - min(s)) AS name, min(s)::INT AS "start", max(e)::INT AS "end"
+FROM (SELECT *, sum(is_new::INT) OVER (PARTITION BY {key} ORDER BY k ROWS UNBOUNDED PRECEDING) AS island
+      FROM (SELECT *, coalesce(s - lag(e) OVER (PARTITION BY {key} ORDER BY k) > 2, true) AS is_new
+            FROM ({sql_located(f'(SELECT {key}, {plain} AS plain FROM {source})', key, 'plain', WORD_OR_INITIAL)}) WHERE m NOT IN ({stops}))) JOIN {source} USING ({key})
+GROUP BY {key}, island"""
+
+
+def sql_scan(action: str) -> str:
+    """doc_id, sanitized_text, counts and score of documents, with an action by type ``t`` as SQL."""
+    return f"""
+WITH f AS (SELECT doc_id, entity_type AS t, entity_text AS m, "start" AS s, "end" AS e, confidence AS c FROM ({sql_entities("documents", "doc_id")})),
+a AS (SELECT *, {action} AS action, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM f),
+g AS (SELECT doc_id, string_agg(substr(text, before + 1, s - before) || CASE WHEN action = 'redact' THEN '[REDACTED_' || t || ']' ELSE m END, '' ORDER BY s) AS head, max(e) AS last,
+             count(*) AS n, count(*) FILTER (action = 'allowlist') AS leaked, avg(c) AS conf FROM a JOIN documents USING (doc_id) GROUP BY doc_id),
+r AS (SELECT doc_id, coalesce(head || substr(text, last + 1), text) AS sanitized_text, coalesce(n, 0)::INT AS n_entities, coalesce(leaked, 0)::INT AS leaked,
+             CASE WHEN n IS NULL THEN 0 ELSE least(conf * 0.4 + least(n / 5.0, 1.0) * 0.3 + leaked / n * 0.3, 1.0) END AS x FROM documents LEFT JOIN g USING (doc_id))
+SELECT doc_id, sanitized_text, n_entities, leaked, round(x, 6)::DOUBLE AS score,
+       CASE WHEN n_entities = 0 THEN 'NONE' WHEN x >= 0.75 THEN 'CRITICAL' WHEN x >= 0.5 THEN 'HIGH' WHEN x >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS level
+FROM r"""
+
+
+# -- queries ---------------------------------------------------------------------------------------------------------
+
+
+def t1_entities(spark, d):
+    return exploded(detect(table(spark, d, "documents").select("doc_id", "text"), "text", PATTERNS), ["doc_id"])
+
+
+def page_entities(spark, d):
+    return exploded(detect(table(spark, d, "pages").select("page_id", "html"), "html", PATTERNS), ["page_id"])
+
+
+def counts_by_type(spark, d):
+    return t1_entities(spark, d).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+
+
+def names_in(name, key):
+    def run(spark, d):
+        n = F.col("_n")
+        return table(spark, d, name).select(key, F.explode(name_spans(F.col("text"))).alias("_n")).select(key, n["text"].alias("name"), n["start"].alias("start"), n["end"].alias("end"))
+
+    return run
+
+
+def conversation_key(spark, d):
+    return table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+
+
+def names_conversations(spark, d):
+    n = F.col("_n")
+    return conversation_key(spark, d).select("id", F.explode(name_spans(F.col("text"))).alias("_n")).select("id", n["text"].alias("name"), n["start"].alias("start"), n["end"].alias("end"))
+
+
+def names_outside_identifiers(spark, d):
+    """The anti-join on ranges, inside the row."""
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("t", pattern_spans(F.col("text"))).where(F.size("t") > 0).withColumn("n", name_spans(F.col("text")))
+    return docs.select("doc_id", F.size("n").alias("n_names"), F.size(without_overlap(F.col("n"), F.col("t"))).alias("n_kept"))
+
+
+def overlap_sweep(spark, d):
+    """Survivors of made-up overlapping spans of the events: start and length from the id, confidence from the value."""
+    e = table(spark, d, "events").select((F.col("event_id") % 500).alias("g"), F.pmod("event_id", F.lit(97)).cast("int").alias("s"), (F.pmod(F.col("event_id") * 7, F.lit(11)) + 1).cast("int").alias("n"), (F.pmod(F.col("event_id") * 13, F.lit(100)) / 100).alias("c"))
+    one = F.struct(F.lit("X").alias("entity_type"), F.col("s").cast("string").alias("text"), F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end"), F.col("c").alias("confidence"))
+    grouped = e.dropDuplicates(["g", "s"]).groupBy("g").agg(F.collect_list(one).alias("spans"))
+    kept = grouped.select("g", survivors(F.col("spans")).alias("kept"), F.size("spans").alias("n_spans"))
+    return kept.select("g", "n_spans", F.size("kept").alias("n_kept"), F.aggregate("kept", F.lit(0), lambda a, x: a + x["start"]).alias("sum_start"))
+
+
+def scan_documents(policy, detectors=PATTERNS):
+    def run(spark, d):
+        out = scan(table(spark, d, "documents").select("doc_id", "text"), policy, "text", detectors)
+        s = F.col("privacy_score")
+        return out.select("doc_id", "sanitized_text", F.col("entity_count").alias("n_entities"), F.col("allowed").alias("leaked"), F.round(s["score"], 6).alias("score"), s["level"].alias("level"))
+
+    return run
+
+
+def risk_by_source(spark, d):
+    return risk.report(scan(table(spark, d, "documents").select("source", "lang", "text"), "permissive", "text", PATTERNS))
+
+
+def pseudonyms(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    x = F.col("c_name")
+    return c.select("c_custkey", sanitize.pseudonym_person(x).alias("person"), sanitize.pseudonym_email(x).alias("email"), sanitize.pseudonym_ip(x).alias("ip"), sanitize.pseudonym_other(F.lit("US_SSN"), x).alias("other"), sanitize.redacted(F.lit("PERSON")).alias("redacted"))
+
+
+def phone_pseudonyms(spark, d):
+    return table(spark, d, "customer").select("c_custkey", F.element_at(sanitize.phones_of(F.array("c_name")), 1).alias("phone"))
+
+
+def checks(spark, d):
+    """Validators over numbers made from customer keys."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", F.lpad((k * 7919 + 4000000000000).cast("string"), 13, "4").alias("card"), F.lpad((k * 104729 % 100000000000).cast("string"), 11, "0").alias("cpf"), F.concat_ws(".", k % 300, k % 7, k % 11, k % 13).alias("ip"), F.concat("c_name", F.when(k % 3 == 0, "@x.org").when(k % 3 == 1, "@x").otherwise("")).alias("mail"))
+    return c.select("c_custkey", validators.is_luhn(F.col("card")).alias("card"), validators.is_cpf(F.col("cpf")).alias("cpf"), validators.is_ip(F.col("ip")).alias("ip"), validators.is_email(F.col("mail")).alias("mail"))
+
+
+def record_scan(spark, d):
+    """Customers as flat JSON records with a number among the strings; the comment of a third holds an address."""
+    k = F.col("c_custkey")
+    record = F.to_json(F.struct(k.alias("id"), F.col("c_name").alias("name"), F.concat(F.lit("reach 10.0."), k % 256, F.lit("."), k % 200 + 10).alias("note"), F.when(k % 3 == 0, F.concat(F.lit("mail c"), k, F.lit("@example.com"))).alias("mail")))
+    found = detect_records(table(spark, d, "customer").select("c_custkey", record.alias("record")), ["c_custkey"], "record", PATTERNS)
+    return found.select("c_custkey", "key", F.element_at("entities", 1)["text"].alias("entity_text"), "entity_count")
+
+
+def event_records(spark, d):
+    """Event properties hold numbers only, so nothing is scanned."""
+    return detect_records(table(spark, d, "events").select("event_id", F.col("props").alias("record")), ["event_id"], "record", PATTERNS).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nation_pairs(spark, d):
+    n = table(spark, d, "nation")
+    a, b = (n.select(F.col("n_name").alias(x), "n_regionkey") for x in ("a", "b"))
+    return a.join(b, "n_regionkey").where("a < b").select("a", "b")
+
+
+def jaccards(spark, d):
+    return nation_pairs(spark, d).select("a", "b", F.round(sim.trigram_jaccard(F.col("a"), F.col("b")), 6).alias("trigram"), F.round(sim.token_jaccard(F.col("a"), F.col("b")), 6).alias("token"))
+
+
+def osa_pairs(spark, d):
+    return nation_pairs(spark, d).select("a", "b", sim.osa_distance("a", "b").cast("int").alias("distance"), F.round(sim.osa_similarity("a", "b"), 6).alias("similarity"))
+
+
+def phonetic_codes(spark, d):
+    c = table(spark, d, "part").select("p_name").distinct().withColumn("c", sim.phonetic_codes("p_name"))
+    return c.select("p_name", F.col("c.primary").alias("code"), F.col("c.secondary").alias("second_code"))
+
+
+def signatures(spark, d):
+    s = table(spark, d, "part").select("p_partkey", sim.signature(F.col("p_name")).alias("s"))
+    return s.select("p_partkey", F.element_at("s", 1).alias("first"), F.element_at("s", 64).alias("last"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+def block_candidates(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.lit("PERSON").alias("kind"))
+    return linkage.candidate_pairs(n, "n_nationkey", "kind", "n_name")
+
+
+def block_tokens_bands(spark, d):
+    n = table(spark, d, "nation").select("n_nationkey", "n_name", F.lit("PERSON").alias("kind"))
+    return linkage.candidate_pairs(n, "n_nationkey", "kind", "n_name", ("band", "token"))
+
+
+def pair_scores(spark, d):
+    s = linkage.score_pairs(nation_pairs(spark, d), "a", "b")
+    merge, defer = linkage.thresholds(F.lit("PERSON"), F.lit(3))
+    return s.select("a", "b", F.round("posterior", 6).alias("posterior"), F.round("total_weight", 6).alias("total_weight"), linkage.decide(F.col("posterior"), merge, defer).alias("decision"))
+
+
+def pair_evaluation(spark, d):
+    """Confusion of the thresholds over names with a swapped pair of letters (a match) and pairs of a region (none)."""
+    n = F.initcap("n_name")
+    typo = table(spark, d, "nation").select(n.alias("canonical"), F.concat(n.substr(1, 1), n.substr(3, 1), n.substr(2, 1), n.substr(F.lit(4), F.length(n))).alias("variant"), F.lit("typo").alias("category"), F.lit("MERGE").alias("expected"))
+    other = nation_pairs(spark, d).select(F.initcap("a").alias("canonical"), F.initcap("b").alias("variant"), F.lit("other").alias("category"), F.lit("NEW_ENTITY").alias("expected"))
+    return linkage.evaluate(typo.union(other), [0.40, 0.50, 0.60, 0.65, 0.70, 0.80, 0.85, 0.90])
+
+
+def session_fold(spark, d):
+    return session.fold(table(spark, d, "conversations"), "conv_id", "turn")
+
+
+def session_resolve(spark, d):
+    return session.resolved(session_fold(spark, d)).drop("signals")
+
+
+def session_summary(spark, d):
+    return session.summaries(session_fold(spark, d))
+
+
+def session_text(spark, d):
+    return session_fold(spark, d).select("session_id", "turn", "sanitized_text")
+
+
+def session_cooccurrence(spark, d):
+    m = session_resolve(spark, d).select("session_id", (F.col("turn") + 1).alias("turn"), F.col("assigned_entity_id").alias("entity_id"))
+    return session.cooccurrence(m).withColumn("score", F.round("score", 6))
+
+
+def event_cooccurrence(spark, d):
+    """The same join over events: users are sessions, days are turns, event types are entities."""
+    e = table(spark, d, "events")
+    m = e.select(F.col("user_id").alias("session_id"), (F.pmod("event_id", F.lit(20)) + 1).alias("turn"), F.ascii("event_type").alias("entity_id"))
+    return session.cooccurrence(m).withColumn("score", F.round("score", 6))
+
+
+def latency_percentiles(spark, d):
+    return risk.nearest_rank(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+def mention_rollup(spark, d):
+    """Mentions and first-seen variants of each named thing: distinct values in order of first sight."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    first = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("seen"), F.count(F.lit(1)).alias("n"))
+    return first.groupBy("user_id").agg(F.sum("n").alias("mentions"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", "event_type"))), lambda x: x["event_type"]), ",").alias("variants"))
+
+
+def running_type_count(spark, d):
+    """How many entities of a type a session knew before each new one: what moves the thresholds."""
+    e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"))
+    before = F.row_number().over(Window.partitionBy("user_id").orderBy("first_event")) - 1
+    merge, defer = linkage.thresholds(F.lit("PERSON"), F.col("before"))
+    return e.withColumn("before", before).select("user_id", "event_type", F.col("before").cast("bigint").alias("known"), F.round(merge, 6).alias("merge_at"), F.round(defer, 6).alias("defer_at"))
+
+
+QUERIES = {
+    "scan_default": scan_documents("default", ("patterns", "names")),
+    "scan_strict": scan_documents("strict"),
+    "scan_permissive": scan_documents("permissive"),
+    "t1_entities": t1_entities,
+    "page_entities": page_entities,
+    "t1_counts_by_type": counts_by_type,
+    "t1_risk_by_source": risk_by_source,
+    "names_t2": names_in("documents", "doc_id"),
+    "names_conversations": names_conversations,
+    "names_outside_identifiers": names_outside_identifiers,
+    "overlap_sweep": overlap_sweep,
+    "pseudonyms": pseudonyms,
+    "phone_pseudonyms": phone_pseudonyms,
+    "validator_checks": checks,
+    "record_scan": record_scan,
+    "event_records": event_records,
+    "jaccards": jaccards,
+    "osa_pairs": osa_pairs,
+    "phonetic_codes": phonetic_codes,
+    "minhash_signatures": signatures,
+    "block_candidates": block_candidates,
+    "block_tokens_bands": block_tokens_bands,
+    "pair_scores": pair_scores,
+    "pair_evaluation": pair_evaluation,
+    "session_resolve": session_resolve,
+    "session_summary": session_summary,
+    "session_text": session_text,
+    "session_cooccurrence": session_cooccurrence,
+    "event_cooccurrence": event_cooccurrence,
+    "latency_percentiles": latency_percentiles,
+    "mention_rollup": mention_rollup,
+    "running_type_count": running_type_count,
+}
+
+_LIMBS = " + ".join(f"('0x' || substr(sha256(c_name), {8 * k + 1}, 8))::BIGINT" for k in range(7))
+_NAME = f"[{', '.join(sql_string(n) for n in sanitize.NAMES)}][1 + ((({_LIMBS}) * 4 + ('0x' || substr(sha256(c_name), 57, 8))::BIGINT) % 12)]"
+_PAIRS = "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_name < b.n_name"
+_GRAMS = lambda x: f"list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr(lower({x}), i, 3)))"
+_TOKENS = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '\\s+'), lambda t: t <> ''))"
+_JACCARD = lambda a, b: f"round(len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))), 6)::DOUBLE"
+_MD5 = lambda k: f"('0x' || substr(md5(g), {8 * k + 1}, 8))::BIGINT"
+_SIGNATURE = lambda x, table_: f"""SELECT {x[0]}, j, min(((a % {sim.PRIME}) * h + b) % {sim.PRIME}) AS v
+FROM (SELECT DISTINCT {x[0]}, ((({_MD5(0)}) * 8 + ({_MD5(1)}) * 4 + ({_MD5(2)}) * 2 + ({_MD5(3)})) % {sim.PRIME})::HUGEINT AS h FROM (SELECT {x[0]}, unnest(list_transform(range(1, length({x[1]}) - 1), lambda i: substr(lower({x[1]}), i, 3))) AS g FROM {table_})),
+     (SELECT unnest(range(1, 65)) AS j, unnest({list(sim.FACTORS)})::HUGEINT AS a, unnest({list(sim.OFFSETS)})::HUGEINT AS b) GROUP BY ALL"""
+
+ORACLES = {
+    "scan_strict": sql_scan("'redact'"),
+    "scan_permissive": sql_scan("CASE WHEN t IN ('EMAIL_ADDRESS', 'CREDIT_CARD', 'US_SSN', 'PHONE_NUMBER', 'IP_ADDRESS') THEN 'redact' ELSE 'allowlist' END"),
+    "t1_entities": sql_entities("documents", "doc_id"),
+    "page_entities": sql_entities("pages", "page_id", "html"),
+    "t1_counts_by_type": f"SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs, round(avg(confidence), 6) AS avg_confidence FROM ({sql_entities('documents', 'doc_id')}) GROUP BY 1",
+    "t1_risk_by_source": f"""
+WITH r AS ({sql_scan("CASE WHEN t IN ('EMAIL_ADDRESS', 'CREDIT_CARD', 'US_SSN', 'PHONE_NUMBER', 'IP_ADDRESS') THEN 'redact' ELSE 'allowlist' END")})
+SELECT CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS source, CASE WHEN grouping(level) = 1 THEN 'ALL' ELSE level END AS level, count(*) AS n_docs, sum(n_entities)::BIGINT AS n_entities, max(score) AS max_score
+FROM r JOIN documents USING (doc_id) GROUP BY ROLLUP (source, level)""",
+    "names_t2": sql_names("documents", "doc_id"),
+    "names_conversations": sql_names("(SELECT conv_id || '/' || turn AS id, text FROM conversations)", "id"),
+    "names_outside_identifiers": f"""
+WITH t AS ({sql_entities("documents", "doc_id")}), n AS ({sql_names("documents", "doc_id")})
+SELECT d.doc_id, count(n.doc_id)::INT AS n_names, count(n.doc_id) FILTER (NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = n.doc_id AND n."end" > t."start" AND n."start" < t."end"))::INT AS n_kept
+FROM (SELECT DISTINCT doc_id FROM t) d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
+    "pseudonyms": f"""SELECT c_custkey, {_NAME} AS person, replace(lower({_NAME}), ' ', '.') || '@example.com' AS email,
+       {" || '.' || ".join(f"('0x' || substr(sha256(c_name), {63 - 2 * k}, 2))::INT" for k in range(4))} AS ip, '[PSEUDO_US_SSN_' || substr(sha256(c_name), 1, 8) || ']' AS other, '[REDACTED_PERSON]' AS redacted FROM customer""",
+    "validator_checks": f"""SELECT c_custkey, {sql_luhn("card")} AS card, {sql_cpf("cpf")} AS cpf, {sql_ip("ip")} AS ip, c_custkey % 3 = 0 AS mail
+FROM (SELECT c_custkey, lpad((c_custkey * 7919 + 4000000000000)::VARCHAR, 13, '4') AS card, lpad((c_custkey * 104729 % 100000000000)::VARCHAR, 11, '0') AS cpf, (c_custkey % 300) || '.' || (c_custkey % 7) || '.' || (c_custkey % 11) || '.' || (c_custkey % 13) AS ip FROM customer)""",
+    "record_scan": """SELECT c_custkey, 'note' AS key, '10.0.' || (c_custkey % 256) || '.' || (c_custkey % 200 + 10) AS entity_text, 1 AS entity_count FROM customer
+UNION ALL SELECT c_custkey, 'mail', 'c' || c_custkey || '@example.com', 1 FROM customer WHERE c_custkey % 3 = 0""",
+    "event_records": "SELECT 'k' AS key, count(*) AS n FROM events WHERE json_type(props, '$.k') = 'VARCHAR' HAVING count(*) > 0",
+    "jaccards": f"SELECT a, b, {_JACCARD(_GRAMS('a'), _GRAMS('b'))} AS trigram, {_JACCARD(_TOKENS('a'), _TOKENS('b'))} AS token FROM ({_PAIRS})",
+    "minhash_signatures": f"SELECT p_partkey, max(v) FILTER (j = 1)::BIGINT AS first, max(v) FILTER (j = 64)::BIGINT AS last, sum(v)::BIGINT AS total FROM ({_SIGNATURE(('p_partkey', 'p_name'), 'part')}) GROUP BY 1",
+    "block_tokens_bands": f"""
+WITH s AS ({_SIGNATURE(("n_nationkey", "n_name"), "nation")}),
+k AS (SELECT n_nationkey, ((j - 1) // 2)::VARCHAR || ':' || string_agg(v::VARCHAR, ':' ORDER BY j) AS key FROM s GROUP BY n_nationkey, (j - 1) // 2
+      UNION ALL SELECT n_nationkey, 'T:' || unnest({_TOKENS("n_name")}) FROM nation)
+SELECT DISTINCT x.n_nationkey AS id_a, y.n_nationkey AS id_b FROM k x JOIN k y USING (key) WHERE x.n_nationkey < y.n_nationkey""",
+    "event_cooccurrence": """
+WITH m AS (SELECT DISTINCT user_id AS session_id, event_id % 20 + 1 AS turn, ascii(event_type) AS entity_id FROM events), l AS (SELECT session_id, max(turn) AS last FROM m GROUP BY 1),
+n AS (SELECT session_id, entity_id, count(*) AS n FROM m GROUP BY ALL),
+p AS (SELECT x.session_id, x.entity_id AS entity_a, y.entity_id AS entity_b, sum(exp(-0.1 * (last - x.turn + 1))) AS w FROM m x JOIN m y ON x.session_id = y.session_id AND x.turn = y.turn AND x.entity_id < y.entity_id JOIN l ON l.session_id = x.session_id GROUP BY ALL)
+SELECT p.session_id, entity_a, entity_b, round(least(1.0, w / least(a.n, b.n)), 6) AS score FROM p JOIN n a ON a.session_id = p.session_id AND a.entity_id = entity_a JOIN n b ON b.session_id = p.session_id AND b.entity_id = entity_b""",
+    "latency_percentiles": """
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) FILTER (i = floor(n * 0.5)) AS p50, max(value) FILTER (i = floor(n * 0.95)) AS p95, max(value) FILTER (i = floor(n * 0.99)) AS p99 FROM r GROUP BY 1""",
+    "mention_rollup": "SELECT user_id, sum(n)::BIGINT AS mentions, string_agg(event_type, ',' ORDER BY seen) AS variants FROM (SELECT user_id, event_type, min(event_id) AS seen, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1",
+    "running_type_count": """
+SELECT user_id, event_type, known, round(least(0.65 + 0.03 * log2(1 + known), 0.95), 6)::DOUBLE AS merge_at, round(greatest(least(0.65 + 0.03 * log2(1 + known), 0.95) - 0.35, 0.30), 6)::DOUBLE AS defer_at
+FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) - 1 AS known FROM events GROUP BY user_id, event_type)""",
+}
