@@ -14,7 +14,7 @@ def is_luhn(number: Column) -> Column:
 
 def _check_digit(digits: Column, n: int) -> Column:
     """The mod-11 digit over the first n digits, weighted n+1 down to 2."""
-    total = sum((F.substring(digits, k + 1, 1).cast("int") * (n + 1 - k) for k in range(n)), F.lit(0))
+    total = sum((F.substring(digits, k + 1, 1).try_cast("int") * (n + 1 - k) for k in range(n)), F.lit(0))
     rest = F.pmod(total, F.lit(11))
     return F.when(rest < 2, 0).otherwise(11 - rest)
 
@@ -22,7 +22,7 @@ def _check_digit(digits: Column, n: int) -> Column:
 def is_cpf(number: Column) -> Column:
     """Eleven digits, points and hyphens aside, not all equal, with two right mod-11 digits."""
     digits = F.translate(number, ".-", "")
-    right = (F.substring(digits, 10, 1).cast("int") == _check_digit(digits, 9)) & (F.substring(digits, 11, 1).cast("int") == _check_digit(digits, 10))
+    right = (F.substring(digits, 10, 1).try_cast("int") == _check_digit(digits, 9)) & (F.substring(digits, 11, 1).try_cast("int") == _check_digit(digits, 10))
     return F.coalesce(digits.rlike("^[0-9]{11}$") & ~digits.rlike(r"^(\d)\1{10}$") & right, F.lit(False))
 
 
