@@ -27,6 +27,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 # -- scratch tables ----------------------------------------------------------------------------------------------
 
 

@@ -195,7 +195,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **k
     """The documents without any verified item, with all their columns. The ids that go are written first, so the
     planner knows their size."""
     bad = materialize(contaminated(docs, items, id_col, **kw).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ appended. Everything on this path is built-in Spark expressions.
 Defined results
 * null text counts as empty, so null and '' are equal texts;
 * of equal texts in a batch the row with the largest doc_id stays; a null doc_id is smaller than any other;
+* a row without id is decided like any other, but :func:`deduplicate`, which drops by id, lets it pass;
 * rows that repeat both doc_id and text are one document: each counts in group_size and each gets the same decision;
 * columns other than the id and the text are never looked at and pass through :func:`deduplicate` unchanged.
 """
@@ -83,7 +84,7 @@ def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     """The rows of a batch that stay, with all their columns. Only the ids that go are joined; they are a table
     of known size, so the planner broadcasts them when they are few and sort-merges otherwise."""
     dropped = materialize(classify(df, index, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return df.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    return df.join(dropped, df[id_col] == dropped["_dropped"], "left_anti")
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:

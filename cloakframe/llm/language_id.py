@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, text_blocks
+from .common import documents, text_blocks, unused
 
 SEGMENT, HIDDEN = 64, 8
 TRAIN_DOCS, WINDOWS, STEPS, BATCH, RATE = 300, 6, 240, 192, 0.02
@@ -204,12 +204,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return net
 
 
-def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, lang_probs, lang_positions): the pooled probabilities and the number of positions
-    labelled with each language, for the whole text. With ``keep``: all columns of the rows, and _pred."""
+    labelled with each language, for the whole text. With ``keep``: all columns of the rows, and the language in a column of that name."""
     out = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_probs", T.MapType(T.StringType(), T.DoubleType())), T.StructField("lang_positions", T.MapType(T.StringType(), T.LongType()))]
     if keep:
-        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema], T.StructField("_pred", T.StringType())])
+        schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema], T.StructField(keep, T.StringType())])
     else:
         schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), *out])
     names = net.languages if net else []
@@ -234,7 +234,7 @@ def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     carried = [F.col(f"`{c}`") for c in df.columns] if keep else [F.col(id_col).alias("doc_id")]
-    return df.select(F.col(text_col).alias("_text"), letter.alias("_letter"), *carried).mapInArrow(run, schema)
+    return df.select(F.col(text_col).alias(unused(df, "_text")), letter.alias(unused(df, "_letter")), *carried).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import decontamination, exact_dedup, language_id, ngram_jaccard, packing
-from cloakframe.llm.common import documents, materialize
+from cloakframe.llm.common import documents, materialize, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determinable language: null texts and texts without a letter. The language found
     replaces a missing one."""
     net = language_id.fit(docs.where(~language_id.held_out()))
-    found = language_id.predict(docs, net, keep=True)
-    return found.where(F.col("_pred") != language_id.UNDETERMINED).withColumn("lang", F.coalesce("lang", "_pred")).drop("_pred")
+    name = unused(docs, "_pred")
+    found = language_id.predict(docs, net, keep=name)
+    return found.where(F.col(name) != language_id.UNDETERMINED).withColumn("lang", F.coalesce("lang", name)).drop(name)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
