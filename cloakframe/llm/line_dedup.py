@@ -24,6 +24,8 @@ DIVISOR = 3
 #: Factor and modulus of the rolling hash over two neighbouring lines; products stay far below 2**63 in any engine.
 FACTOR, MODULUS = 31, 1000003
 MIN_LINES = 2
+#: Most numbers in the broadcast filter in front of the exact join.
+COARSE = 1 << 20
 
 
 def line_hash(line: Column) -> Column:
@@ -51,15 +53,24 @@ def chunk_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return ends.select("row_key", "doc_id", "is_null", pieces.alias("pieces"))
 
 
+def _few(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Left-semi join on a long hash that spares the shuffle most rows: first against the distinct remainders of the
+    wanted hashes, a broadcast of at most COARSE numbers whatever the input, then exactly."""
+    coarse = wanted.select(F.pmod(key, F.lit(COARSE)).alias("_c")).distinct()
+    near = rows.withColumn("_c", F.pmod(key, F.lit(COARSE))).join(F.broadcast(coarse), "_c", "left_semi").drop("_c")
+    return near.join(wanted, key, "left_semi")
+
+
 def repeated(pieces: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(row_key, doc_id, place) of the chunks that go: all but the first of each group of equal chunks.
 
     First a 64-bit hash and a counter a chunk, partially aggregated, so a chunk in a third of all documents costs
-    its reducer one row per map task; then the bytes of those chunks whose hash repeats."""
-    many = pieces.select("row_key", "doc_id", F.posexplode("pieces").alias("place", "c")).select("row_key", "doc_id", "place", "c.n_lines", "c.chunk").where((F.col("n_lines") >= min_lines) & F.col("chunk").rlike("[^ \t\r\n]"))
+    its reducer one row per map task; then the bytes of those chunks whose hash repeats. The outer form of explode
+    keeps the optimizer from repeating the whole chunk expression in a filter on its size."""
+    many = pieces.select("row_key", "doc_id", F.posexplode_outer("pieces").alias("place", "c")).select("row_key", "doc_id", "place", "c.n_lines", "c.chunk").where((F.col("n_lines") >= min_lines) & F.col("chunk").rlike("[^ \t\r\n]"))
     many = many.withColumn("h", F.xxhash64("chunk"))
     twice = materialize(many.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "chunk_hashes")
-    again = materialize(many.join(twice, "h", "left_semi").select("h", "chunk", "row_key", "doc_id", "place"), "chunk_again")
+    again = materialize(_few(many, "h", twice).select("h", "chunk", "row_key", "doc_id", "place"), "chunk_again")
     first = again.groupBy("h", "chunk").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place")))
     return again.join(first, ["h", "chunk"]).where(later).select("row_key", "doc_id", "place")
