@@ -79,12 +79,26 @@ FROM (SELECT *, sum(is_new::INT) OVER (PARTITION BY {key} ORDER BY k ROWS UNBOUN
 GROUP BY {key}, island"""
 
 
-def sql_scan(action: str) -> str:
+def sql_with_names() -> str:
+    """Identifiers of documents, and the names that overlap none of them (of unknown, so of plain confidence)."""
+    return f"""
+WITH t AS ({sql_entities("documents", "doc_id")}), n AS ({sql_names("documents", "doc_id")})
+SELECT * FROM t UNION ALL
+SELECT doc_id, 'PERSON', name, "start", "end", 0.95::DOUBLE FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = n.doc_id AND n."end" > t."start" AND n."start" < t."end")"""
+
+
+def sql_pseudonym(x: str) -> str:
+    """A person's pseudonym: SHA-256 modulo the number of names, by 32-bit limbs."""
+    limbs = " + ".join(f"('0x' || substr(sha256({x}), {8 * k + 1}, 8))::BIGINT" for k in range(7))
+    return f"[{', '.join(sql_string(n) for n in sanitize.NAMES)}][1 + ((({limbs}) * 4 + ('0x' || substr(sha256({x}), 57, 8))::BIGINT) % 12)]"
+
+
+def sql_scan(action: str, entities: str | None = None) -> str:
     """doc_id, sanitized_text, counts and score of documents, with an action by type ``t`` as SQL."""
     return f"""
-WITH f AS (SELECT doc_id, entity_type AS t, entity_text AS m, "start" AS s, "end" AS e, confidence AS c FROM ({sql_entities("documents", "doc_id")})),
+WITH f AS (SELECT doc_id, entity_type AS t, entity_text AS m, "start" AS s, "end" AS e, confidence AS c FROM ({entities or sql_entities("documents", "doc_id")})),
 a AS (SELECT *, {action} AS action, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM f),
-g AS (SELECT doc_id, string_agg(substr(text, before + 1, s - before) || CASE WHEN action = 'redact' THEN '[REDACTED_' || t || ']' ELSE m END, '' ORDER BY s) AS head, max(e) AS last,
+g AS (SELECT doc_id, string_agg(substr(text, before + 1, s - before) || CASE WHEN action = 'redact' THEN '[REDACTED_' || t || ']' WHEN action = 'pseudonymize' THEN {sql_pseudonym("m")} ELSE m END, '' ORDER BY s) AS head, max(e) AS last,
              count(*) AS n, count(*) FILTER (action = 'allowlist') AS leaked, avg(c) AS conf FROM a JOIN documents USING (doc_id) GROUP BY doc_id),
 r AS (SELECT doc_id, coalesce(head || substr(text, last + 1), text) AS sanitized_text, coalesce(n, 0)::INT AS n_entities, coalesce(leaked, 0)::INT AS leaked,
              CASE WHEN n IS NULL THEN 0 ELSE least(conf * 0.4 + least(n / 5.0, 1.0) * 0.3 + leaked / n * 0.3, 1.0) END AS x FROM documents LEFT JOIN g USING (doc_id))
@@ -313,8 +327,7 @@ QUERIES = {
     "running_type_count": running_type_count,
 }
 
-_LIMBS = " + ".join(f"('0x' || substr(sha256(c_name), {8 * k + 1}, 8))::BIGINT" for k in range(7))
-_NAME = f"[{', '.join(sql_string(n) for n in sanitize.NAMES)}][1 + ((({_LIMBS}) * 4 + ('0x' || substr(sha256(c_name), 57, 8))::BIGINT) % 12)]"
+_NAME = sql_pseudonym("c_name")
 _PAIRS = "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b USING (n_regionkey) WHERE a.n_name < b.n_name"
 _GRAMS = lambda x: f"list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr(lower({x}), i, 3)))"
 _TOKENS = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '\\s+'), lambda t: t <> ''))"
@@ -325,6 +338,7 @@ FROM (SELECT DISTINCT {x[0]}, ((({_MD5(0)}) * 8 + ({_MD5(1)}) * 4 + ({_MD5(2)})
      (SELECT unnest(range(1, 65)) AS j, unnest({list(sim.FACTORS)})::HUGEINT AS a, unnest({list(sim.OFFSETS)})::HUGEINT AS b) GROUP BY ALL"""
 
 ORACLES = {
+    "scan_default": sql_scan("CASE WHEN t = 'PERSON' THEN 'pseudonymize' ELSE 'redact' END", sql_with_names()),
     "scan_strict": sql_scan("'redact'"),
     "scan_permissive": sql_scan("CASE WHEN t IN ('EMAIL_ADDRESS', 'CREDIT_CARD', 'US_SSN', 'PHONE_NUMBER', 'IP_ADDRESS') THEN 'redact' ELSE 'allowlist' END"),
     "t1_entities": sql_entities("documents", "doc_id"),
