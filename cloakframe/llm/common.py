@@ -52,7 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every scratch table of this application; frames that still read them must have been written first."""
+    """Delete every scratch table and every one-run digest index of this application; frames that still read them
+    must have been written first."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("digest_index_"):
+            spark.sql(f"DROP TABLE {t.name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/llm-{spark.sparkContext.applicationId}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
