@@ -8,11 +8,13 @@ union, so only groups that meet this bound are opened and compared member by mem
    of token frequencies of fixed size. The sketch fixes a global order of tokens, rarest first.
 2. Two similar sets share a token among the first n - ceil(t n) + 1 of either, so only these prefixes are posted.
    A posting list of one key ends here; a list of several names a leader for keys of similar size.
-3. Stars: every key is compared with its leaders. Verified stars are joined into components: the groups.
-4. Matrix: groups hold at most GROUP members of one component. A key and a group of another component that meet in a
-   posting list become a candidate, from the smaller component's side; its bound is checked against the group's union
-   and, if it is met, the group is opened. Pairs inside one component are never compared again: they could change no
-   component, and a group of copies costs no pairs.
+3. Groups: a key joins the leader it meets most often, if they meet often enough to be similar at all (two similar
+   sets share more than one token of their prefixes; see :func:`least_shared`). Large groups are cut into parts of
+   about GROUP members. Keys without such a leader are groups of their own. Each group is compared inside.
+4. Matrix: groups that meet in posting lists are counted, pair by pair; a pair is kept if it shares as many tokens as
+   two members could need, and is dropped if all members of both are in one component already. For kept pairs the
+   members of one are queries to the other: a query's overlap with the union of the group's tokens bounds its overlap
+   with any member, and only groups that meet the bound are opened.
 
 Nothing is capped: posting lists and groups of any size are streamed or chunked. Sets travel as sorted 64-bit codes.
 
@@ -20,6 +22,7 @@ Defined results
 * null text, or text without words: no shingle, n_shingles 0, linked with nothing, component_id is its own id;
 * fewer than SIZE words: the whole sequence is the one shingle;
 * documents with equal sets are linked; rows that repeat an id are one document with each of their texts;
+* a row without id takes part by its set: it is linked where a row with an id holds the same set;
 * ties (several smallest ids) cannot matter, since a component is named by its smallest id; other columns are ignored.
 """
 
@@ -37,8 +40,8 @@ from .common import bitmap_of, components, documents, expand, expand_sorted, mat
 SIZE, PERCENT = 5, 80
 #: Counters of the frequency sketch: 2**SKETCH_BITS, sent in 16 parts.
 SKETCH_BITS = 20
-#: Most members of a group, and members of a star that one task compares.
-GROUP, STAR = 256, 1000
+#: Members of a group, on average at most.
+GROUP = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
@@ -119,12 +122,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _lead(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted postings (code, n, key) to rows (code, key, n, leader) of the lists with several keys. A leader is
+        """Sorted postings (code, n, key) to rows (code, key, n, leader, lead_n) of the lists with several keys. A leader is
         the first key of its list whose size the others can match. Only the last row of a batch is remembered."""
         code_0 = n_0 = key_0 = lead_n = lead_key = None
         alone = False  # the last row opened its list and was not sent yet
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
+            out: list[tuple[int, ...]] = []
             code, n, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             same = np.concatenate([[code_0 is not None and len(code) and code[0] == code_0], code[1:] == code[:-1]]).astype(bool)
             with_next = np.concatenate([same[1:], [True]])
@@ -136,16 +139,16 @@ def _lead(percent: int):
                 if k == key_0 and m == n_0:
                     continue
                 if alone:
-                    out.append((c, key_0, n_0, lead_key))
+                    out.append((c, key_0, n_0, lead_key, lead_n))
                     alone = False
                 if m * percent > 100 * lead_n:
                     lead_n, lead_key = m, k
-                out.append((c, k, m, lead_key))
+                out.append((c, k, m, lead_key, lead_n))
                 n_0, key_0 = m, k
             if len(code) and not with_next[-1:].all():
                 code_0 = None
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["code", "key", "n", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["code", "key", "n", "leader", "lead_n"])
 
     return run
 
@@ -159,74 +162,103 @@ def _similar(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def _verify_stars(percent: int):
+def least_shared(low, high, percent: int = PERCENT):
+    """Tokens that the prefixes of two similar sets share at least, for sizes between low and high (columns).
+
+    All common tokens up to the end of the prefix that ends first are in both prefixes; beyond it that set of size n
+    has ceil(t n) - 1 tokens left. So the prefixes share the overlap that similarity needs, t / (1 + t) of both
+    sizes, less that; it is least for the smallest set beside the largest."""
+    needed = F.floor((percent * (low + high) / (100 + percent)) - percent * high / 100)
+    return F.greatest(needed, F.lit(1))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (code, group), distinct, to pairs of groups with the number of lists they share in this task."""
+    count: dict[tuple[int, int], int] = {}
+
+    def flush() -> pa.RecordBatch:
+        a, b = zip(*count, strict=True) if count else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(count.values()), pa.int64())], ["g", "q", "shared"])
+
+    for code, group in _runs(batches):
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        ends = np.concatenate([starts[1:], [len(code)]])
+        many = ends - starts > 1
+        for i, j in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            some = group[i:j].tolist()
+            for x in range(len(some)):
+                for y in range(x + 1, len(some)):
+                    pair = (some[x], some[y])
+                    count[pair] = count.get(pair, 0) + 1
+        if len(count) > 500_000:
+            yield flush()
+            count = {}
+    yield flush()
+
+
+class _Group:
+    """The members of a group: the union of their tokens, and who holds which."""
+
+    def __init__(self, keys: list[int], bags: list[np.ndarray]):
+        self.keys, self.sizes = keys, np.array([len(b) for b in bags])
+        tokens, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owner = tokens[order], owner[order]
+        self.union, self.start = np.unique(tokens, return_index=True)
+        self.start = np.append(self.start, len(tokens))
+
+    def similar(self, bag: np.ndarray, percent: int) -> list[int]:
+        """Members similar to a set. The union bounds the overlap first; only then members are compared."""
+        at = np.minimum(np.searchsorted(self.union, bag), len(self.union) - 1)
+        at = at[self.union[at] == bag]
+        if 100 * len(at) < percent * len(bag):
+            return []
+        lengths = self.start[at + 1] - self.start[at]
+        places = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(self.start[at], lengths)
+        common = np.bincount(self.owner[places], minlength=len(self.keys))
+        return np.flatnonzero(100 * common >= percent * (len(bag) + self.sizes - common)).tolist()
+
+
+def _open(percent: int, inside: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (leader, salt, role, key, bag) sorted so that a leader's own bag precedes its members'."""
-        lead, centre = None, None
-        for batch in batches:
-            a, b = [], []
-            for leader, _, role, key, bag in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                bag = expand_sorted(bag)
-                if role == 0:
-                    lead, centre = leader, bag
-                elif leader == lead and _similar(_overlap(centre, bag), len(centre), len(bag), percent):
-                    a.append(leader), b.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _meet(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Posting lists (code, key, n, comp, slot, size) to candidates (comp, slot, query): keys of the smaller
-        component query the groups of the larger ones in their list, if sizes allow."""
-        sent: set[tuple[int, int, int]] = set()
-        for code, key, n, comp, slot, size in _runs(batches):
-            new = []
-            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(code)], strict=True):
-                if (comp[i:j] == comp[i]).all():
-                    continue
-                groups: dict[tuple[int, int, int], list[int]] = {}
-                for c, s, z, m in zip(comp[i:j].tolist(), slot[i:j].tolist(), size[i:j].tolist(), n[i:j].tolist(), strict=True):
-                    g = groups.setdefault((z, c, s), [m, m])
-                    g[0], g[1] = min(g[0], m), max(g[1], m)
-                for k, m, c, z in zip(key[i:j].tolist(), n[i:j].tolist(), comp[i:j].tolist(), size[i:j].tolist(), strict=True):
-                    for (gz, gc, gs), (least, most) in groups.items():
-                        if (gz, gc) > (z, c) and least * percent <= 100 * m and m * percent <= 100 * most and (t := (gc, gs, k)) not in sent:
-                            sent.add(t)
-                            new.append(t)
-                if len(sent) > 1_000_000:
-                    sent.clear()  # repeats are removed again behind the exchange
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*new, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["comp", "slot", "key"])
+        """Rows (g, role, key, bag), members (role 0) before queries. Of all links only those are sent that join what
+        this group's links have not joined yet."""
+        at, keys, bags, group, up, a, b = None, [], [], None, {}, [], []
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def ask(key: int, bag: np.ndarray) -> None:
+            for other in group.similar(bag, percent):
+                if (x := root(key)) != (y := root(group.keys[other])):
+                    up[x] = y
+                    a.append(key), b.append(group.keys[other])
+
+        def close() -> None:
+            nonlocal group
+            if inside and keys:
+                group = _Group(keys, bags)
+                for k, bag in zip(keys, bags, strict=True):
+                    ask(k, bag)
 
-    return run
-
-
-def _open(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (comp, slot, role, key, bag), members before queries. The union of a group's tokens bounds every
-        query; the group is opened only if the bound is met."""
-        at, members, union = None, [], None
         for batch in batches:
-            a, b = [], []
-            for comp, slot, role, key, bag in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for g, role, key, bag in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if g != at:
+                    close()
+                    at, keys, bags, group, up = g, [], [], None, {}
                 bag = expand_sorted(bag)
-                if (comp, slot) != at:
-                    at, members, union = (comp, slot), [], None
                 if role == 0:
-                    members.append((key, bag))
-                    continue
-                if union is None and members:
-                    union = np.unique(np.concatenate([m for _, m in members]))
-                if not members or 100 * _overlap(union, bag) < percent * len(bag):
-                    continue
-                for other, m in members:
-                    if len(m) * percent <= 100 * len(bag) and len(bag) * percent <= 100 * len(m) and _similar(_overlap(m, bag), len(m), len(bag), percent):
-                        a.append(key), b.append(other)
-                        break  # one link joins the query to the group's component
+                    keys.append(key), bags.append(bag)
+                elif keys:
+                    group = group or _Group(keys, bags)
+                    ask(key, bag)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -262,10 +294,29 @@ def similarity_components(df: DataFrame, size: int = SIZE, percent: int = PERCEN
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.repeat(np.array(keys, np.int64), lengths))], ["code", "n", "key"])
 
     postings = texts.select("text").mapInArrow(post, "code bigint, n int, key bigint").repartition(parts, "code").sortWithinPartitions("code", "n", "key")
-    shared = materialize(postings.mapInArrow(_lead(percent), "code bigint, key bigint, n bigint, leader bigint"), "shared")
-
-    # the sets of keys that share anything, taken from one document each
-    involved = shared.select("key").distinct()
+    shared = materialize(postings.mapInArrow(_lead(percent), "code bigint, key bigint, n bigint, leader bigint, lead_n bigint"), "shared")
+
+    # groups
+    met = shared.groupBy("key", "n", "leader", "lead_n").agg(F.count(F.lit(1)).alias("c"))
+    close = (F.col("key") == F.col("leader")) | (F.col("c") >= least_shared(F.least("n", "lead_n"), F.greatest("n", "lead_n"), percent))
+    homes = met.groupBy("key", "n").agg(F.max(F.when(close & (F.col("key") != F.col("leader")), F.struct("c", "leader")))["leader"].alias("leader")).select("key", "n", F.coalesce("leader", "key").alias("home"))
+    homes = materialize(homes, "homes")
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    member = materialize(homes.join(sizes, "home").select("key", "n", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP))).alias("g")), "members")
+    group = materialize(member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size")), "groups")
+
+    # pairs of groups that share enough
+    lists = shared.select("code", "key").join(member.select("key", "g"), "key").select("code", "g").distinct()
+    meets = lists.repartition(parts, "code").sortWithinPartitions("code", "g").mapInArrow(_meet, "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
+    of = lambda c: group.select(F.col("g").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("low", "high", "size")])
+    sized = meets.where("shared > 0").join(of("g"), "g").join(of("q"), "q")
+    fits = (F.col("g_low") * percent <= F.col("q_high") * 100) & (F.col("q_low") * percent <= F.col("g_high") * 100) & (F.col("shared") >= least_shared(F.least("g_low", "q_low"), F.greatest("g_high", "q_high"), percent))
+    turn = F.col("q_size") > F.col("g_size")  # the smaller group asks
+    pairs = materialize(sized.where(fits).select(F.when(turn, F.col("q")).otherwise(F.col("g")).alias("g"), F.when(turn, F.col("g")).otherwise(F.col("q")).alias("q")), "pairs")
+
+    # the sets of their members, taken from one document each
+    wanted_groups = pairs.select("g").union(pairs.select(F.col("q").alias("g"))).union(group.where("size > 1").select("g")).distinct()
+    involved = member.join(wanted_groups, "g", "left_semi").select("key")
     owners = materialize(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(involved, "key"), "owners")
     bits, width = bitmap_of(owners, "doc_id")
     wanted = spark.sparkContext.broadcast(bits)
@@ -287,26 +338,19 @@ def similarity_components(df: DataFrame, size: int = SIZE, percent: int = PERCEN
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(width))
     bags = materialize(texts.select("doc_id", "text", slot.alias("slot")).where("doc_id IS NOT NULL").mapInArrow(bag, "doc_id bigint, key bigint, bag binary").join(owners, ["doc_id", "key"], "left_semi").select("key", "bag"), "bags")
 
-    # stars
-    pairs = materialize(shared.where("key <> leader").select("leader", "key").distinct(), "stars")
-    split = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
-    star = pairs.join(split, "leader").select("leader", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("role"), "key")
-    heads = split.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("leader").alias("key"))
-    rows = star.unionByName(heads).join(bags, "key").select("leader", "salt", "role", "key", "bag")
-    links = materialize(rows.repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", "role", "key").mapInArrow(_verify_stars(percent), "a bigint, b bigint"), "star_links")
-    stars = materialize(components(links), "star_components")
-
-    # matrix
-    grouped = involved.join(stars, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("comp"))
-    sizes = grouped.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    member = materialize(grouped.join(sizes, "comp").select("key", "comp", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP)).cast("int").alias("slot"), "size"), "members")
-    placed = materialize(shared.select("code", "key", "n").join(member, "key"), "placed")
-    mixed = placed.groupBy("code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("code")
-    lists = placed.join(mixed, "code", "left_semi").select("code", "key", "n", "comp", "slot", "size").repartition(parts, "code").sortWithinPartitions("code")
-    asked = materialize(lists.mapInArrow(_meet(percent), "comp bigint, slot int, key bigint").distinct(), "candidates")
-    groups = asked.select("comp", "slot").distinct().join(member, ["comp", "slot"]).select("comp", "slot", F.lit(0).alias("role"), "key")
-    rows = asked.select("comp", "slot", F.lit(1).alias("role"), "key").unionByName(groups).join(bags, "key").select("comp", "slot", "role", "key", "bag")
-    more = materialize(rows.repartition(parts, "comp", "slot").sortWithinPartitions("comp", "slot", "role", "key").mapInArrow(_open(percent), "a bigint, b bigint"), "matrix_links")
+    # links inside groups, then between groups of different components
+    def compare(rows: DataFrame, inside: bool, name: str) -> DataFrame:
+        dealt = rows.join(bags, "key").select("g", "role", "key", "bag").repartition(parts, "g").sortWithinPartitions("g", "role", "key")
+        return materialize(dealt.mapInArrow(_open(percent, inside), "a bigint, b bigint"), name)
+
+    base = member.select("g", F.lit(0).alias("role"), "key")
+    links = compare(base.join(group.where("size > 1"), "g", "left_semi"), True, "links_inside")
+    known = materialize(components(links), "known")
+    uniform = member.join(known, F.col("key") == F.col("node"), "left").groupBy("g").agg(F.min(F.coalesce("component", "key")).alias("lo"), F.max(F.coalesce("component", "key")).alias("hi")).where("lo = hi")
+    one = lambda c: uniform.select(F.col("g").alias(c), F.col("lo").alias(f"{c}_in"))
+    open_pairs = materialize(pairs.join(one("g"), "g", "left").join(one("q"), "q", "left").where("g_in IS NULL OR q_in IS NULL OR g_in <> q_in").select("g", "q"), "open_pairs")
+    asking = open_pairs.join(member.select(F.col("g").alias("q"), "key"), "q").select("g", F.lit(1).alias("role"), "key")
+    more = compare(asking.unionByName(base.join(open_pairs, "g", "left_semi")), False, "links_between")
 
     # components of keys, then of documents
     whole = components(links.union(more))
@@ -321,7 +365,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows that stay when one document of each component does (the one with the smallest id), with all columns."""
     found = similarity_components(df, id_col=id_col, text_col=text_col, **kw)
     gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near_copies")
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
