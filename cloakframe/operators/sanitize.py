@@ -18,30 +18,37 @@ NAMES = (
 )
 
 
-def name_index(text: Column) -> Column:
+def digest(text: Column) -> Column:
+    """SHA-256 as lower-case hex: what all pseudonyms follow from. Pass it on, so that it is computed once."""
+    return F.sha2(text, 256)
+
+
+def name_index(text: Column, h: Column | None = None) -> Column:
     """SHA-256 modulo 12. Of its eight 32-bit limbs all but the lowest weigh 4, since 2**32 and 4 * 4 are 4 modulo 12."""
-    limbs = [F.conv(F.substring(F.sha2(text, 256), 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(8)]
+    h = digest(text) if h is None else h
+    limbs = [F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(8)]
     high = limbs[0]
     for limb in limbs[1:7]:
         high = high + limb
     return F.pmod(high * 4 + limbs[7], F.lit(len(NAMES))).cast("int")
 
 
-def pseudonym_person(text: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, NAMES)), name_index(text) + 1)
+def pseudonym_person(text: Column, h: Column | None = None) -> Column:
+    return F.element_at(F.array(*map(F.lit, NAMES)), name_index(text, h) + 1)
 
 
-def pseudonym_email(text: Column) -> Column:
-    return F.concat(F.replace(F.lower(pseudonym_person(text)), F.lit(" "), F.lit(".")), F.lit("@example.com"))
+def pseudonym_email(text: Column, h: Column | None = None) -> Column:
+    return F.concat(F.replace(F.lower(pseudonym_person(text, h)), F.lit(" "), F.lit(".")), F.lit("@example.com"))
 
 
-def pseudonym_ip(text: Column) -> Column:
+def pseudonym_ip(text: Column, h: Column | None = None) -> Column:
     """The four lowest bytes of the hash, lowest first."""
-    return F.concat_ws(".", *[F.conv(F.substring(F.sha2(text, 256), 63 - 2 * k, 2), 16, 10) for k in range(4)])
+    h = digest(text) if h is None else h
+    return F.concat_ws(".", *[F.conv(F.substring(h, 63 - 2 * k, 2), 16, 10) for k in range(4)])
 
 
-def pseudonym_other(entity_type: Column, text: Column) -> Column:
-    return F.concat(F.lit("[PSEUDO_"), entity_type, F.lit("_"), F.substring(F.sha2(text, 256), 1, 8), F.lit("]"))
+def pseudonym_other(entity_type: Column, text: Column, h: Column | None = None) -> Column:
+    return F.concat(F.lit("[PSEUDO_"), entity_type, F.lit("_"), F.substring(digest(text) if h is None else h, 1, 8), F.lit("]"))
 
 
 def phone_of(text: str) -> str:
@@ -81,15 +88,18 @@ def sanitize(df: DataFrame, policy: str | Policy = "default", text_col: str = "t
     if phones:
         df = df.withColumn("_phones", phones_of(F.transform("_sorted", lambda e: e["text"])))
 
+    acting = F.transform("_sorted", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["entity_type"].alias("entity_type"), e["text"].alias("text"), rule.action(e["entity_type"]).alias("action"), F.when(rule.action(e["entity_type"]) == PSEUDONYMIZE, digest(e["text"])).alias("h")))
+    df = df.withColumn("_acting", acting)
+
     def replaced(e: Column, k: Column) -> Column:
-        kind, text, action = e["entity_type"], e["text"], rule.action(e["entity_type"])
-        pseudonym = F.when(kind == "PERSON", pseudonym_person(text)).when(kind == "EMAIL_ADDRESS", pseudonym_email(text)).when(kind == "IP_ADDRESS", pseudonym_ip(text))
+        kind, text, action, h = e["entity_type"], e["text"], e["action"], e["h"]
+        pseudonym = F.when(kind == "PERSON", pseudonym_person(text, h)).when(kind == "EMAIL_ADDRESS", pseudonym_email(text, h)).when(kind == "IP_ADDRESS", pseudonym_ip(text, h))
         if phones:
             pseudonym = pseudonym.when(kind == "PHONE_NUMBER", F.element_at("_phones", k + 1))
-        out = F.when(action == REDACT, redacted(kind)).when(action == PSEUDONYMIZE, pseudonym.otherwise(pseudonym_other(kind, text))).otherwise(text)
+        out = F.when(action == REDACT, redacted(kind)).when(action == PSEUDONYMIZE, pseudonym.otherwise(pseudonym_other(kind, text, h))).otherwise(text)
         return F.struct(e["start"].alias("start"), e["end"].alias("end"), kind.alias("entity_type"), text.alias("original"), out.alias("replacement"), action.alias("action"))
 
-    df = df.withColumn("sanitized", F.transform("_sorted", replaced)).drop("_sorted", "_phones")
+    df = df.withColumn("sanitized", F.transform("_acting", replaced)).drop("_sorted", "_acting", "_phones")
     count = lambda a: F.size(F.filter("sanitized", lambda e: e["action"] == a))
     return (
         df.withColumn("sanitized_text", spliced(F.col(text_col), F.col("sanitized")))
