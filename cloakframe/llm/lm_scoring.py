@@ -33,18 +33,22 @@ from .common import documents, expand, materialize, sequences, squeeze, text_blo
 
 ORDER, MIN_COUNT, ALPHA = 3, 2, 0.4
 #: Bytes of text in a unit, and words of the corpus for each bucket of the count tables.
-UNIT_BYTES, BUCKET_WORDS = 6 << 20, 3 << 20
+UNIT_BYTES, BUCKET_WORDS = 10 << 20, 3 << 20
 HASH_BITS = 48
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units of documents: ids, words of each document, and the words as places in a sorted vocabulary."""
+    """Units of documents: ids, words of each document, and the words as places in a vocabulary, frequent ones first."""
     base, made = TaskContext.get().partitionId() << 32, 0
     ids, counts, hashes, size = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
         nonlocal made
-        vocabulary, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        vocabulary, at, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.lexsort((vocabulary, -times))  # frequent words get small numbers
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        vocabulary, at = vocabulary[order], rank[at]
         row = [[base + made], [pa.concat_arrays(ids).to_pylist()], [squeeze(np.concatenate(counts))], [squeeze(np.diff(vocabulary, prepend=np.uint64(0)))], [squeeze(at)], [int(len(at))]]
         made += 1
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.list_(pa.int64())), *[pa.array(x, pa.binary()) for x in row[2:5]], pa.array(row[5], pa.int64())], ["unit", "ids", "counts", "vocabulary", "at", "n_words"])
