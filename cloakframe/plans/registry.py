@@ -147,9 +147,10 @@ def names_outside_identifiers(spark, d):
 
 def overlap_sweep(spark, d):
     """Survivors of made-up overlapping spans of the events: start and length from the id, confidence from the value."""
-    e = table(spark, d, "events").select((F.col("event_id") % 500).alias("g"), F.pmod("event_id", F.lit(97)).cast("int").alias("s"), (F.pmod(F.col("event_id") * 7, F.lit(11)) + 1).cast("int").alias("n"), (F.pmod(F.col("event_id") * 13, F.lit(100)) / 100).alias("c"))
+    first = table(spark, d, "events").groupBy((F.col("event_id") % 500).alias("g"), F.pmod("event_id", F.lit(97)).alias("s")).agg(F.min("event_id").alias("event_id"))
+    e = first.select("g", F.pmod("event_id", F.lit(97)).cast("int").alias("s"), (F.pmod(F.col("event_id") * 7, F.lit(11)) + 1).cast("int").alias("n"), (F.pmod(F.col("event_id") * 13, F.lit(100)) / 100).alias("c"))
     one = F.struct(F.lit("X").alias("entity_type"), F.col("s").cast("string").alias("text"), F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end"), F.col("c").alias("confidence"))
-    grouped = e.dropDuplicates(["g", "s"]).groupBy("g").agg(F.collect_list(one).alias("spans"))
+    grouped = e.groupBy("g").agg(F.collect_list(one).alias("spans"))
     kept = grouped.select("g", survivors(F.col("spans")).alias("kept"), F.size("spans").alias("n_spans"))
     return kept.select("g", "n_spans", F.size("kept").alias("n_kept"), F.aggregate("kept", F.lit(0), lambda a, x: a + x["start"]).alias("sum_start"))
 
@@ -354,6 +355,17 @@ FROM r JOIN documents USING (doc_id) GROUP BY ROLLUP (source, level)""",
 WITH t AS ({sql_entities("documents", "doc_id")}), n AS ({sql_names("documents", "doc_id")})
 SELECT d.doc_id, count(n.doc_id)::INT AS n_names, count(n.doc_id) FILTER (NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = n.doc_id AND n."end" > t."start" AND n."start" < t."end"))::INT AS n_kept
 FROM (SELECT DISTINCT doc_id FROM t) d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
+    "overlap_sweep": """
+WITH RECURSIVE f AS (SELECT event_id % 500 AS g, event_id % 97 AS s, min(event_id) AS i FROM events GROUP BY ALL),
+o AS (SELECT g, s::INT AS s, (s + i * 7 % 11 + 1)::INT AS e, (i * 13 % 100) / 100 AS c, row_number() OVER (PARTITION BY g ORDER BY s) AS k, count(*) OVER (PARTITION BY g) AS n FROM f),
+r AS (SELECT g, k, n, s, e, c, 1 AS kept, s AS total FROM o WHERE k = 1
+      UNION ALL
+      SELECT o.g, o.k, o.n, CASE WHEN o.s >= r.e OR o.c > r.c THEN o.s ELSE r.s END, CASE WHEN o.s >= r.e OR o.c > r.c THEN o.e ELSE r.e END, CASE WHEN o.s >= r.e OR o.c > r.c THEN o.c ELSE r.c END,
+             CASE WHEN o.s >= r.e THEN r.kept + 1 ELSE r.kept END, CASE WHEN o.s >= r.e THEN r.total + o.s WHEN o.c > r.c THEN r.total - r.s + o.s ELSE r.total END
+      FROM r JOIN o ON o.g = r.g AND o.k = r.k + 1)
+SELECT g, n::INT AS n_spans, kept::INT AS n_kept, total::INT AS sum_start FROM r WHERE k = n""",
+    # the distance of the SQL engine may edit a stretch twice; on these names, which differ in digits, that never helps
+    "osa_pairs": f"SELECT a, b, damerau_levenshtein(a, b)::INT AS distance, round(1 - damerau_levenshtein(a, b) / greatest(length(a), length(b)), 6)::DOUBLE AS similarity FROM ({_PAIRS})",
     "pseudonyms": f"""SELECT c_custkey, {_NAME} AS person, replace(lower({_NAME}), ' ', '.') || '@example.com' AS email,
        {" || '.' || ".join(f"('0x' || substr(sha256(c_name), {63 - 2 * k}, 2))::INT" for k in range(4))} AS ip, '[PSEUDO_US_SSN_' || substr(sha256(c_name), 1, 8) || ']' AS other, '[REDACTED_PERSON]' AS redacted FROM customer""",
     "validator_checks": f"""SELECT c_custkey, {sql_luhn("card")} AS card, {sql_cpf("cpf")} AS cpf, {sql_ip("ip")} AS ip, c_custkey % 3 = 0 AS mail
