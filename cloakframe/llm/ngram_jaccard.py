@@ -9,8 +9,9 @@ union, so only groups that meet this bound are opened and compared member by mem
 2. Two similar sets share a token among the first n - ceil(t n) + 1 of either, so only these prefixes are posted.
    A posting list of one key ends here; a list of several names a leader for keys of similar size.
 3. Groups: a key joins the leader it meets most often, if they meet often enough to be similar at all (two similar
-   sets share more than one token of their prefixes; see :func:`least_shared`). Large groups are cut into parts of
-   about GROUP members. Keys without such a leader are groups of their own. Each group is compared inside.
+   sets share more than one token of their prefixes; see :func:`least_shared`); keys that meet a leader less often,
+   but not by chance, form groups beside it by size. Large groups are cut into parts of about GROUP members. All
+   other keys are groups of their own. Each group is compared inside. (Any grouping gives the same components.)
 4. Matrix: groups that meet in posting lists are counted, pair by pair; a pair is kept if it shares as many tokens as
    two members could need, and is dropped if all members of both are in one component already. For kept pairs the
    members of one are queries to the other: a query's overlap with the union of the group's tokens bounds its overlap
@@ -172,28 +173,38 @@ def least_shared(low, high, percent: int = PERCENT):
     return F.greatest(needed, F.lit(1))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (code, group), distinct, to pairs of groups with the number of lists they share in this task."""
-    count: dict[tuple[int, int], int] = {}
+def _meet(percent: int):
+    def least(low, high):
+        """The same as least_shared, on numbers."""
+        return np.maximum(1, np.floor(percent * (low + high) / (100 + percent) - percent * high / 100))
 
-    def flush() -> pa.RecordBatch:
-        a, b = zip(*count, strict=True) if count else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(count.values()), pa.int64())], ["g", "q", "shared"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows (code, group, low, high, most), distinct, to pairs of groups with the number of lists they
+        share in this task. ``most`` bounds the lists of a group, so a pair that needs more is not counted at all."""
+        count: dict[tuple[int, int], int] = {}
+
+        def flush() -> pa.RecordBatch:
+            a, b = zip(*count, strict=True) if count else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(count.values()), pa.int64())], ["g", "q", "shared"])
+
+        for code, group, low, high, most in _runs(batches):
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            ends = np.concatenate([starts[1:], [len(code)]])
+            many = ends - starts > 1
+            for i, j in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+                g, lo, hi, t = group[i:j], low[i:j], high[i:j], most[i:j]
+                for x in range(len(g) - 1):
+                    a, b = np.minimum(lo[x], lo[x + 1 :]), np.maximum(hi[x], hi[x + 1 :])
+                    ok = (lo[x] * percent <= 100 * hi[x + 1 :]) & (lo[x + 1 :] * percent <= 100 * hi[x]) & (np.minimum(t[x], t[x + 1 :]) >= least(a, b))
+                    for y in np.flatnonzero(ok).tolist():
+                        pair = (int(g[x]), int(g[x + 1 + y]))
+                        count[pair] = count.get(pair, 0) + 1
+                if len(count) > 500_000:
+                    yield flush()
+                    count.clear()
+        yield flush()
 
-    for code, group in _runs(batches):
-        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        ends = np.concatenate([starts[1:], [len(code)]])
-        many = ends - starts > 1
-        for i, j in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-            some = group[i:j].tolist()
-            for x in range(len(some)):
-                for y in range(x + 1, len(some)):
-                    pair = (some[x], some[y])
-                    count[pair] = count.get(pair, 0) + 1
-        if len(count) > 500_000:
-            yield flush()
-            count = {}
-    yield flush()
+    return run
 
 
 class _Group:
@@ -298,16 +309,21 @@ def similarity_components(df: DataFrame, size: int = SIZE, percent: int = PERCEN
 
     # groups
     met = shared.groupBy("key", "n", "leader", "lead_n").agg(F.count(F.lit(1)).alias("c"))
-    close = (F.col("key") == F.col("leader")) | (F.col("c") >= least_shared(F.least("n", "lead_n"), F.greatest("n", "lead_n"), percent))
-    homes = met.groupBy("key", "n").agg(F.max(F.when(close & (F.col("key") != F.col("leader")), F.struct("c", "leader")))["leader"].alias("leader")).select("key", "n", F.coalesce("leader", "key").alias("home"))
+    best = met.groupBy("key", "n").agg(F.sum("c").alias("most"), F.max(F.when(F.col("key") != F.col("leader"), F.struct("c", "leader", "lead_n"))).alias("b"))
+    needed = least_shared(F.least("n", "b.lead_n"), F.greatest("n", "b.lead_n"), percent)
+    tag = F.when(F.col("b.c") >= needed, 0).when(F.col("b.c") >= F.greatest(needed / 3, F.lit(3)), 1).otherwise(2)
+    band = F.when(F.coalesce(tag, F.lit(2)) == 1, F.floor(F.log("n") * 20)).otherwise(0)  # far keys only with others of like size
+    homes = best.select("key", "n", "most", F.xxhash64(F.when(F.coalesce(tag, F.lit(2)) < 2, F.col("b.leader")).otherwise(F.col("key")), F.coalesce(tag, F.lit(2)), band).alias("home"))
     homes = materialize(homes, "homes")
     sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
-    member = materialize(homes.join(sizes, "home").select("key", "n", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP))).alias("g")), "members")
-    group = materialize(member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size")), "groups")
+    placed = homes.join(sizes, "home").select("key", "n", "most", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP))).alias("g"))
+    placed = materialize(placed, "placed")
+    group = materialize(placed.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("most").alias("most"), F.count(F.lit(1)).alias("size")), "groups")
+    member = materialize(placed.select("key", "g").join(group.select("g", "low", "high", "most"), "g"), "members")
 
     # pairs of groups that share enough
-    lists = shared.select("code", "key").join(member.select("key", "g"), "key").select("code", "g").distinct()
-    meets = lists.repartition(parts, "code").sortWithinPartitions("code", "g").mapInArrow(_meet, "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
+    lists = shared.select("code", "key").join(member, "key").select("code", "g", "low", "high", "most").distinct()
+    meets = lists.repartition(parts, "code").sortWithinPartitions("code", "g").mapInArrow(_meet(percent), "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
     of = lambda c: group.select(F.col("g").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("low", "high", "size")])
     sized = meets.where("shared > 0").join(of("g"), "g").join(of("q"), "q")
     fits = (F.col("g_low") * percent <= F.col("q_high") * 100) & (F.col("q_low") * percent <= F.col("g_high") * 100) & (F.col("shared") >= least_shared(F.least("g_low", "q_low"), F.greatest("g_high", "q_high"), percent))
