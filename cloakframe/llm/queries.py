@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_jaccard, packing, quality, suffix_dedup, toxicity
+from . import decontamination, exact_dedup, language_id, line_dedup, lm_scoring, ngram_jaccard, packing, passage_dedup, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
     "op2_ngram_jaccard": ngram_jaccard.query,
     "op3_line_dedup": line_dedup.query,
+    "op3_passage_dedup": passage_dedup.query,
     "op4_decontamination": decontamination.query,
     "op5_language_id": language_id.query,
     "op6_suffix_dedup": suffix_dedup.query,
@@ -19,5 +20,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op3_passage_dedup": passage_dedup.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
