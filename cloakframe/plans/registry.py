@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..engine import scan
+from ..engine import BOTH, scan
 from ..functions import validators
 from ..functions import similarity as sim
 from ..functions.names import STOP_WORDS, WORD_OR_INITIAL, name_spans
@@ -307,6 +307,8 @@ QUERIES = {
     "scan_default": scan_documents("default", ("patterns", "names")),
     "scan_strict": scan_documents("strict"),
     "scan_permissive": scan_documents("permissive"),
+    "scan_strict_names": scan_documents("strict", BOTH),
+    "scan_permissive_names": scan_documents("permissive", BOTH),
     "t1_entities": t1_entities,
     "page_entities": page_entities,
     "t1_counts_by_type": counts_by_type,
@@ -352,6 +354,8 @@ ORACLES = {
     "scan_default": sql_scan("CASE WHEN t = 'PERSON' THEN 'pseudonymize' ELSE 'redact' END", sql_with_names()),
     "scan_strict": sql_scan("'redact'"),
     "scan_permissive": sql_scan("CASE WHEN t IN ('EMAIL_ADDRESS', 'CREDIT_CARD', 'US_SSN', 'PHONE_NUMBER', 'IP_ADDRESS') THEN 'redact' ELSE 'allowlist' END"),
+    "scan_strict_names": sql_scan("'redact'", sql_with_names()),
+    "scan_permissive_names": sql_scan("CASE WHEN t IN ('EMAIL_ADDRESS', 'CREDIT_CARD', 'US_SSN', 'PHONE_NUMBER', 'IP_ADDRESS') THEN 'redact' ELSE 'allowlist' END", sql_with_names()),
     "t1_entities": sql_entities("documents", "doc_id"),
     "page_entities": sql_entities("pages", "page_id", "html"),
     "t1_counts_by_type": f"SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs, round(avg(confidence), 6) AS avg_confidence FROM ({sql_entities('documents', 'doc_id')}) GROUP BY 1",
