@@ -16,8 +16,10 @@ from cloakframe.llm.common import documents, materialize, unused
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a determinable language: null texts and texts without a letter. The language found
-    replaces a missing one."""
+    replaces a missing one; if no row is labelled to learn from, a missing one stays missing."""
     net = language_id.fit(docs.where(~language_id.held_out()))
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     name = unused(docs, "_pred")
     found = language_id.predict(docs, net, keep=name)
     return found.where(F.col(name) != language_id.UNDETERMINED).withColumn("lang", F.coalesce("lang", name)).drop(name)
