@@ -11,19 +11,23 @@ union, so only groups that meet this bound are opened and compared member by mem
 3. Groups: a key joins the leader it meets most often, if they meet often enough to be similar at all (two similar
    sets share more than one token of their prefixes; see :func:`least_shared`); keys that meet a leader less often,
    but not by chance, form groups beside it by size. Large groups are cut into parts of about GROUP members. All
-   other keys are groups of their own. Each group is compared inside. (Any grouping gives the same components.)
-4. Matrix: groups that meet in posting lists are counted, pair by pair; a pair is kept if it shares as many tokens as
-   two members could need, and is dropped if all members of both are in one component already. For kept pairs the
-   members of one are queries to the other: a query's overlap with the union of the group's tokens bounds its overlap
-   with any member, and only groups that meet the bound are opened.
+   other keys are groups of their own. Each group is compared inside, and the leader of a cut group asks each of its
+   parts, so the parts of a cluster are one component before any two of them are paired. Members outside the largest
+   component of their group form a group beside it. (Any grouping gives the same components.)
+4. Matrix: groups that meet in posting lists are counted, pair by pair, unless both are one component already; a pair
+   is kept if it shares as many tokens as two members could need. Members of one are queries to the other: a query's
+   overlap with the union of the group's tokens bounds its overlap with any member, and only groups that meet the
+   bound are opened.
 
-Nothing is capped: posting lists and groups of any size are streamed or chunked. Sets travel as sorted 64-bit codes.
+Nothing is capped: posting lists of more than LIST groups are dealt out as pairs of blocks, and the queries of a group
+as salted shares of about ASK queries, each beside a copy of the members. Sets travel as sorted 64-bit codes.
 
 Defined results
 * null text, or text without words: no shingle, n_shingles 0, linked with nothing, component_id is its own id;
 * fewer than SIZE words: the whole sequence is the one shingle;
 * documents with equal sets are linked; rows that repeat an id are one document with each of their texts;
-* a row without id takes part by its set: it is linked where a row with an id holds the same set;
+* a row without id takes part like any other and can link documents; its own component_id is null if its component
+  has no id at all;
 * ties (several smallest ids) cannot matter, since a component is named by its smallest id; other columns are ignored.
 """
 
@@ -43,6 +47,8 @@ SIZE, PERCENT = 5, 80
 SKETCH_BITS = 20
 #: Members of a group, on average at most.
 GROUP = 256
+#: Groups of a posting list, and queries to a group, that one task takes at once.
+LIST, ASK = 4096, 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SIZE) -> list[np.ndarray]:
@@ -74,18 +80,18 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "key", "part", "counts"]
+        names = ["doc_id", "owner", "n_shingles", "key", "part", "counts"]
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, offsets in text_blocks(batch.column(1)):
+            for lo, hi, data, offsets in text_blocks(batch.column(2)):
                 sets = shingle_sets(data, offsets, size)
                 every = np.concatenate(sets)
                 sketch += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS)
                 n = hi - lo
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, n), batch.column(1).slice(lo, n), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if sketch.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array([squeeze(p) for p in sketch.reshape(16, -1)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(16, pa.int64())] * 4, pa.array(range(16), pa.int32()), pa.array([squeeze(p) for p in sketch.reshape(16, -1)], pa.binary())], names)
 
     return run
 
@@ -179,29 +185,34 @@ def _meet(percent: int):
         return np.maximum(1, np.floor(percent * (low + high) / (100 + percent) - percent * high / 100))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows (code, group, low, high, most), distinct, to pairs of groups with the number of lists they
-        share in this task. ``most`` bounds the lists of a group, so a pair that needs more is not counted at all."""
+        """Sorted rows (block, group, side, cross, low, high, most, inn, home), distinct, to pairs of groups with the number
+        of lists they share in this task. ``most`` bounds the lists of a group, so a pair that needs more is not counted
+        at all; nor are groups of one component (``inn``, 0 if a group has several) or parts of one compared group
+        (``home``). In a block across two sides of a long list, only groups of different sides are paired."""
         count: dict[tuple[int, int], int] = {}
 
         def flush() -> pa.RecordBatch:
             a, b = zip(*count, strict=True) if count else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(count.values()), pa.int64())], ["g", "q", "shared"])
 
-        for code, group, low, high, most in _runs(batches):
-            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            ends = np.concatenate([starts[1:], [len(code)]])
+        for block, *columns in _runs(batches):
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            ends = np.concatenate([starts[1:], [len(block)]])
             many = ends - starts > 1
             for i, j in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                g, lo, hi, t = group[i:j], low[i:j], high[i:j], most[i:j]
+                g, side, cross, lo, hi, t, inn, home = (c[i:j] for c in columns)
                 for x in range(len(g) - 1):
                     a, b = np.minimum(lo[x], lo[x + 1 :]), np.maximum(hi[x], hi[x + 1 :])
                     ok = (lo[x] * percent <= 100 * hi[x + 1 :]) & (lo[x + 1 :] * percent <= 100 * hi[x]) & (np.minimum(t[x], t[x + 1 :]) >= least(a, b))
+                    ok &= (home[x] != home[x + 1 :]) & ((inn[x] == 0) | (inn[x] != inn[x + 1 :]))
+                    if cross[x]:
+                        ok &= side[x] != side[x + 1 :]
                     for y in np.flatnonzero(ok).tolist():
                         pair = (int(g[x]), int(g[x + 1 + y]))
                         count[pair] = count.get(pair, 0) + 1
-                if len(count) > 500_000:
-                    yield flush()
-                    count.clear()
+                    if len(count) > 500_000:
+                        yield flush()
+                        count.clear()
         yield flush()
 
     return run
@@ -251,7 +262,7 @@ def _open(percent: int, inside: bool):
         def close() -> None:
             nonlocal group
             if inside and keys:
-                group = _Group(keys, bags)
+                group = group or _Group(keys, bags)
                 for k, bag in zip(keys, bags, strict=True):
                     ask(k, bag)
 
@@ -274,13 +285,18 @@ def _open(percent: int, inside: bool):
     return run
 
 
-def similarity_components(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row."""
+def _owner(id_col: str, text_col: str):
+    """What a row is found by: its id, or a hash of its text."""
+    return F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, owner, n_shingles, component_id, stays) for every row."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    first = materialize(texts.mapInArrow(_profile(size), "doc_id bigint, n_shingles bigint, key bigint, part int, counts binary"), "sets")
-    sets = first.where("part IS NULL").select("doc_id", "n_shingles", "key")
+    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), _owner(id_col, text_col).alias("owner"), F.col(text_col).alias("text"))
+    first = materialize(texts.mapInArrow(_profile(size), "doc_id bigint, owner bigint, n_shingles bigint, key bigint, part int, counts binary"), "sets")
+    sets = first.where("part IS NULL").select("doc_id", "owner", "n_shingles", "key")
 
     counts = np.zeros((16, (1 << SKETCH_BITS) // 16), np.uint64)
     for r in first.where("part IS NOT NULL").select("part", "counts").repartition(16, "part").mapInArrow(_sum_sketch, "part int, counts binary").collect():
@@ -307,81 +323,110 @@ def similarity_components(df: DataFrame, size: int = SIZE, percent: int = PERCEN
     postings = texts.select("text").mapInArrow(post, "code bigint, n int, key bigint").repartition(parts, "code").sortWithinPartitions("code", "n", "key")
     shared = materialize(postings.mapInArrow(_lead(percent), "code bigint, key bigint, n bigint, leader bigint, lead_n bigint"), "shared")
 
-    # groups
+    def bags_of(keys: DataFrame, name: str) -> DataFrame:
+        """(key, bag): the sets of these keys, taken from one row each."""
+        owners = materialize(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("owner").alias("owner")).join(keys, "key", "left_semi"), "owners")
+        bits, width = bitmap_of(owners, "owner")
+        wanted = spark.sparkContext.broadcast(bits)
+
+        def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rank, bits, seen = order.value.astype(np.uint64), wanted.value, set()
+            for batch in batches:
+                slot = batch.column(2).to_numpy(zero_copy_only=False)
+                take = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                some = batch.take(pa.array(take, pa.int64()))
+                for lo, hi, data, offsets in text_blocks(some.column(1)):
+                    ids, keys, bags = [], [], []
+                    for owner, s in zip(some.column(0).slice(lo, hi - lo).to_pylist(), shingle_sets(data, offsets, size), strict=True):
+                        if len(s) and (owner, k := set_key(s)) not in seen:
+                            seen.add((owner, k))
+                            ids.append(owner), keys.append(k), bags.append(squeeze_sorted(token_codes(s, rank)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(bags, pa.binary())], ["owner", "key", "bag"])
+
+        slot = F.pmod(F.xxhash64("owner"), F.lit(width))
+        found = texts.select("owner", "text", slot.alias("slot")).mapInArrow(bag, "owner bigint, key bigint, bag binary").join(owners, ["owner", "key"], "left_semi").select("key", "bag")
+        return materialize(found, name)
+
+    def compare(rows: DataFrame, bags: DataFrame, inside: bool, name: str) -> DataFrame:
+        """Links found by opening groups (g) of members (role 0) for themselves or for queries (role 1)."""
+        dealt = rows.join(bags, "key").select("g", "role", "key", "bag").repartition(parts, "g").sortWithinPartitions("g", "role", "key")
+        return materialize(dealt.mapInArrow(_open(percent, inside), "a bigint, b bigint"), name)
+
+    # groups of keys that share a leader
     met = shared.groupBy("key", "n", "leader", "lead_n").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("key", "n").agg(F.sum("c").alias("most"), F.max(F.when(F.col("key") != F.col("leader"), F.struct("c", "leader", "lead_n"))).alias("b"))
     needed = least_shared(F.least("n", "b.lead_n"), F.greatest("n", "b.lead_n"), percent)
-    tag = F.when(F.col("b.c") >= needed, 0).when(F.col("b.c") >= F.greatest(needed / 3, F.lit(3)), 1).otherwise(2)
-    band = F.when(F.coalesce(tag, F.lit(2)) == 1, F.floor(F.log("n") * 20)).otherwise(0)  # far keys only with others of like size
-    homes = best.select("key", "n", "most", F.xxhash64(F.when(F.coalesce(tag, F.lit(2)) < 2, F.col("b.leader")).otherwise(F.col("key")), F.coalesce(tag, F.lit(2)), band).alias("home"))
-    homes = materialize(homes, "homes")
+    tag = F.coalesce(F.when(F.col("b.c") >= needed, 0).when(F.col("b.c") >= F.greatest(needed / 3, F.lit(3)), 1), F.lit(2))
+    band = F.when(tag == 1, F.floor(F.log("n") * 20)).otherwise(0)  # far keys only with others of like size
+    leader = F.when(tag < 2, F.col("b.leader"))
+    homes = materialize(best.select("key", "n", "most", leader.alias("leader"), F.xxhash64(F.coalesce(leader, "key"), tag, band).alias("home")), "homes")
     sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
-    placed = homes.join(sizes, "home").select("key", "n", "most", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP))).alias("g"))
+    placed = homes.join(sizes, "home").select("key", "n", "most", "leader", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / GROUP))).alias("home"))
     placed = materialize(placed, "placed")
-    group = materialize(placed.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("most").alias("most"), F.count(F.lit(1)).alias("size")), "groups")
-    member = materialize(placed.select("key", "g").join(group.select("g", "low", "high", "most"), "g"), "members")
 
-    # pairs of groups that share enough
-    lists = shared.select("code", "key").join(member, "key").select("code", "g", "low", "high", "most").distinct()
-    meets = lists.repartition(parts, "code").sortWithinPartitions("code", "g").mapInArrow(_meet(percent), "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
+    # links inside groups, and of their parts to the leader
+    many = placed.groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.max("leader").alias("leader")).where("size > 1")
+    rows = placed.join(many, "home", "left_semi").select(F.col("home").alias("g"), F.lit(0).alias("role"), "key")
+    rows = rows.unionByName(many.where("leader IS NOT NULL").select(F.col("home").alias("g"), F.lit(1).alias("role"), F.col("leader").alias("key")))
+    rows = materialize(rows, "rows_inside")
+    bags = bags_of(rows.select("key").distinct(), "bags_inside")
+    links = compare(rows, bags, True, "links_inside")
+    known = materialize(components(links), "known")
+
+    # members outside the largest component of their group become a group beside it
+    split = placed.join(known, F.col("key") == F.col("node"), "left").select("key", "n", "most", "home", F.coalesce("component", "key").alias("inn"))
+    largest = split.groupBy("home", "inn").agg(F.count(F.lit(1)).alias("c")).groupBy("home").agg(F.max(F.struct("c", "inn")).alias("m")).select("home", F.col("m.inn").alias("main"))
+    member = materialize(split.join(largest, "home").select("key", "n", "most", "home", "inn", F.xxhash64("home", F.col("inn") == F.col("main")).alias("g")), "members")
+    group = member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("most").alias("most"), F.count(F.lit(1)).alias("size"), F.min("inn").alias("inn"), F.max("inn").alias("inn_2"), F.min("home").alias("home"))
+    group = materialize(group.withColumn("inn", F.when(F.col("inn") == F.col("inn_2"), F.col("inn")).otherwise(0)).drop("inn_2"), "groups")
+
+    # pairs of groups that share enough; the pairs of a long list are dealt out by blocks
+    long = shared.groupBy("code").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") > LIST).select("code", F.ceil(F.col("keys") / LIST).cast("int").alias("sides"))
+    lists = shared.select("code", "key").join(member.select("key", "g"), "key").select("code", "g").distinct().join(materialize(long, "long_lists"), "code", "left")
+    side = F.pmod(F.xxhash64("g"), F.coalesce("sides", F.lit(1))).cast("int")
+    lists = lists.select("code", "g", side.alias("side"), F.explode(F.sequence(F.lit(0), F.coalesce("sides", F.lit(1)) - 1)).alias("other"))
+    block = F.xxhash64("code", F.least("side", "other"), F.greatest("side", "other"))
+    lists = lists.select(block.alias("block"), "g", "side", (F.col("side") != F.col("other")).cast("int").alias("cross"))
+    lists = lists.join(group.select("g", "low", "high", "most", "inn", "home"), "g").select("block", "g", "side", "cross", "low", "high", "most", "inn", "home")
+    meets = lists.repartition(parts, "block").sortWithinPartitions("block", "g", "cross").mapInArrow(_meet(percent), "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
     of = lambda c: group.select(F.col("g").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("low", "high", "size")])
     sized = meets.where("shared > 0").join(of("g"), "g").join(of("q"), "q")
-    fits = (F.col("g_low") * percent <= F.col("q_high") * 100) & (F.col("q_low") * percent <= F.col("g_high") * 100) & (F.col("shared") >= least_shared(F.least("g_low", "q_low"), F.greatest("g_high", "q_high"), percent))
+    fits = F.col("shared") >= least_shared(F.least("g_low", "q_low"), F.greatest("g_high", "q_high"), percent)
     turn = F.col("q_size") > F.col("g_size")  # the smaller group asks
-    pairs = materialize(sized.where(fits).select(F.when(turn, F.col("q")).otherwise(F.col("g")).alias("g"), F.when(turn, F.col("g")).otherwise(F.col("q")).alias("q")), "pairs")
+    asked, asker = (F.when(turn, F.col(x)).otherwise(F.col(y)) for x, y in (("q", "g"), ("g", "q")))
+    pairs = materialize(sized.where(fits).select(asked.alias("g"), asker.alias("q"), F.least("q_size", "g_size").alias("queries")), "pairs")
+
+    # links between groups; a group that many ask is copied for each share of its queries
+    shares = pairs.groupBy("g").agg(F.ceil(F.sum("queries") / ASK).cast("int").alias("shares"))
+    salted = lambda salt: F.xxhash64("g", salt).alias("g")
+    base = member.join(shares, "g").select("key", "g", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")).select(salted("salt"), F.lit(0).alias("role"), "key")
+    asking = pairs.select("g", "q").join(member.select(F.col("g").alias("q"), "key"), "q").join(shares, "g").select(salted(F.pmod(F.xxhash64("key"), "shares").cast("int")), F.lit(1).alias("role"), "key")
+    rows = materialize(base.unionByName(asking), "rows_between")
+    missing = rows.select("key").distinct().join(bags, "key", "left_anti")
+    more = compare(rows, bags.unionByName(bags_of(missing, "bags_between")), False, "links_between")
+
+    # components of keys, then of documents
+    whole = components(links.union(more))
+    classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("root"), F.min(F.when(F.col("doc_id").isNull(), F.col("owner"))).alias("nameless"))
+    joined = whole.join(classes, F.col("node") == F.col("key")).select("key", "component", "root", "nameless")
+    roots = joined.join(joined.groupBy("component").agg(F.min("root").alias("least"), F.min("nameless").alias("first")), "component").select("key", "least", "first")
+    named = classes.join(roots, "key", "left").select("key", F.coalesce("least", "root").alias("component_id"), F.coalesce("first", "nameless").alias("first"))
+    out = sets.join(materialize(named, "named"), "key", "left").select("doc_id", "owner", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "first", "key")
+    stays = F.col("key").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("owner") == F.col("first")))
+    return out.select("doc_id", "owner", "n_shingles", "component_id", stays.alias("stays"))
 
-    # the sets of their members, taken from one document each
-    wanted_groups = pairs.select("g").union(pairs.select(F.col("q").alias("g"))).union(group.where("size > 1").select("g")).distinct()
-    involved = member.join(wanted_groups, "g", "left_semi").select("key")
-    owners = materialize(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(involved, "key"), "owners")
-    bits, width = bitmap_of(owners, "doc_id")
-    wanted = spark.sparkContext.broadcast(bits)
 
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, bits, seen = order.value.astype(np.uint64), wanted.value, set()
-        for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            take = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-            some = batch.take(pa.array(take, pa.int64()))
-            for lo, hi, data, offsets in text_blocks(some.column(1)):
-                ids, keys, bags = [], [], []
-                for doc_id, s in zip(some.column(0).slice(lo, hi - lo).to_pylist(), shingle_sets(data, offsets, size), strict=True):
-                    if len(s) and (doc_id, k := set_key(s)) not in seen:
-                        seen.add((doc_id, k))
-                        ids.append(doc_id), keys.append(k), bags.append(squeeze_sorted(token_codes(s, rank)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(bags, pa.binary())], ["doc_id", "key", "bag"])
-
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(width))
-    bags = materialize(texts.select("doc_id", "text", slot.alias("slot")).where("doc_id IS NOT NULL").mapInArrow(bag, "doc_id bigint, key bigint, bag binary").join(owners, ["doc_id", "key"], "left_semi").select("key", "bag"), "bags")
-
-    # links inside groups, then between groups of different components
-    def compare(rows: DataFrame, inside: bool, name: str) -> DataFrame:
-        dealt = rows.join(bags, "key").select("g", "role", "key", "bag").repartition(parts, "g").sortWithinPartitions("g", "role", "key")
-        return materialize(dealt.mapInArrow(_open(percent, inside), "a bigint, b bigint"), name)
+def similarity_components(df: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row."""
+    return _classes(df, size, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
-    base = member.select("g", F.lit(0).alias("role"), "key")
-    links = compare(base.join(group.where("size > 1"), "g", "left_semi"), True, "links_inside")
-    known = materialize(components(links), "known")
-    uniform = member.join(known, F.col("key") == F.col("node"), "left").groupBy("g").agg(F.min(F.coalesce("component", "key")).alias("lo"), F.max(F.coalesce("component", "key")).alias("hi")).where("lo = hi")
-    one = lambda c: uniform.select(F.col("g").alias(c), F.col("lo").alias(f"{c}_in"))
-    open_pairs = materialize(pairs.join(one("g"), "g", "left").join(one("q"), "q", "left").where("g_in IS NULL OR q_in IS NULL OR g_in <> q_in").select("g", "q"), "open_pairs")
-    asking = open_pairs.join(member.select(F.col("g").alias("q"), "key"), "q").select("g", F.lit(1).alias("role"), "key")
-    more = compare(asking.unionByName(base.join(open_pairs, "g", "left_semi")), False, "links_between")
 
-    # components of keys, then of documents
-    whole = components(links.union(more))
-    classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("root"))
-    joined = whole.join(classes, F.col("node") == F.col("key")).select("key", "component", "root")
-    roots = joined.join(joined.groupBy("component").agg(F.min("root").alias("least")), "component").select("key", "least")
-    named = classes.join(roots, "key", "left").select("key", F.coalesce("least", "root").alias("component_id"))
-    return sets.join(materialize(named, "named"), "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows that stay when one document of each component does (the one with the smallest id), with all columns."""
-    found = similarity_components(df, id_col=id_col, text_col=text_col, **kw)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near_copies")
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows that stay when one document of each component does, with all columns: the one with the smallest id, or
+    if no row of a component has an id, the text with the smallest hash."""
+    found = _classes(df, size, percent, id_col, text_col)
+    gone = materialize(found.where("NOT stays").select(F.col("doc_id").isNull().alias("_nameless"), F.col("owner").alias("_gone")).distinct(), "near_copies")
+    return df.join(gone, (df[id_col].isNull() == gone["_nameless"]) & (_owner(id_col, text_col) == gone["_gone"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ def test_real_rows(sample):
 
 def test_chains_stars_and_borders(spark, monkeypatch):
     """Near copies in chains around the threshold, a common passage, and sets of every small size."""
-    monkeypatch.setattr(op, "GROUP", 3)
+    for name in ("GROUP", "LIST", "ASK"):
+        monkeypatch.setattr(op, name, 3)
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(400)}"
     passage, texts = [word() for _ in range(40)], []
@@ -52,6 +53,21 @@ def test_representatives(edge):
     assert 10 in ids and 11 not in ids and 7 in ids and 8 not in ids and None in ids
 
 
+def test_rows_without_id_link_others(spark):
+    """a ~ n ~ b, but a is not like b; and two near copies that have no id at all."""
+    w = [f"w{k}" for k in range(100)]
+    a, n, b = w, w[:-9] + [f"x{k}" for k in range(9)], w[9:-9] + [f"x{k}" for k in range(18)]
+    lone = [f"y{k}" for k in range(50)]
+    rows = [(1, a), (2, b), (None, n), (None, lone), (None, [*lone, "z"]), (None, ["p", "q"]), (None, [])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id bigint, text string")
+    got = [r.component_id for r in op.similarity_components(df).collect() if r.n_shingles > 60]
+    assert got == [1, 1, 1]
+    assert op.similarity_components(df.where("doc_id IS NOT NULL")).where("component_id = doc_id").count() == 2
+    stay = op.representatives(df).collect()
+    assert sorted(r.doc_id or 0 for r in stay) == [0, 0, 0, 1]
+    assert {len(r.text.split()) for r in stay if r.doc_id is None} in ({50, 2, 0}, {51, 2, 0})
+
+
 def test_empty(nothing):
     assert op.similarity_components(nothing).count() == 0
     assert op.representatives(nothing).count() == 0
