@@ -185,28 +185,28 @@ def _meet(percent: int):
         return np.maximum(1, np.floor(percent * (low + high) / (100 + percent) - percent * high / 100))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows (block, group, side, cross, low, high, most, inn, home), distinct, to pairs of groups with the number
-        of lists they share in this task. ``most`` bounds the lists of a group, so a pair that needs more is not counted
-        at all; nor are groups of one component (``inn``, 0 if a group has several) or parts of one compared group
-        (``home``). In a block across two sides of a long list, only groups of different sides are paired."""
+        """Sorted rows (block, group, side, low, high, most, inn) to pairs of groups with the number of lists they share in
+        this task. ``most`` bounds the lists of a group, so a pair that needs more is not counted at all; nor are groups
+        of one component (``inn``, 0 if a group has several). A block across two sides of a long list pairs only groups
+        of different sides (elsewhere the side is -1)."""
         count: dict[tuple[int, int], int] = {}
 
         def flush() -> pa.RecordBatch:
             a, b = zip(*count, strict=True) if count else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(count.values()), pa.int64())], ["g", "q", "shared"])
 
-        for block, *columns in _runs(batches):
+        for columns in _runs(batches):
+            new = np.concatenate([[True], (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])])
+            block, *columns = (c[new] for c in columns)
             starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             ends = np.concatenate([starts[1:], [len(block)]])
             many = ends - starts > 1
             for i, j in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-                g, side, cross, lo, hi, t, inn, home = (c[i:j] for c in columns)
+                g, side, lo, hi, t, inn = (c[i:j] for c in columns)
                 for x in range(len(g) - 1):
                     a, b = np.minimum(lo[x], lo[x + 1 :]), np.maximum(hi[x], hi[x + 1 :])
                     ok = (lo[x] * percent <= 100 * hi[x + 1 :]) & (lo[x + 1 :] * percent <= 100 * hi[x]) & (np.minimum(t[x], t[x + 1 :]) >= least(a, b))
-                    ok &= (home[x] != home[x + 1 :]) & ((inn[x] == 0) | (inn[x] != inn[x + 1 :]))
-                    if cross[x]:
-                        ok &= side[x] != side[x + 1 :]
+                    ok &= ((inn[x] == 0) | (inn[x] != inn[x + 1 :])) & ((side[x] < 0) | (side[x] != side[x + 1 :]))
                     for y in np.flatnonzero(ok).tolist():
                         pair = (int(g[x]), int(g[x + 1 + y]))
                         count[pair] = count.get(pair, 0) + 1
@@ -323,8 +323,9 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     postings = texts.select("text").mapInArrow(post, "code bigint, n int, key bigint").repartition(parts, "code").sortWithinPartitions("code", "n", "key")
     shared = materialize(postings.mapInArrow(_lead(percent), "code bigint, key bigint, n bigint, leader bigint, lead_n bigint"), "shared")
 
-    def bags_of(keys: DataFrame, name: str) -> DataFrame:
-        """(key, bag): the sets of these keys, taken from one row each."""
+    def bags_of(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """((key, owner), (owner, key, bag)): the sets of these keys, and the one row that each is taken from. The bags of
+        a few other rows, which the bitmap lets through, are never asked for."""
         owners = materialize(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("owner").alias("owner")).join(keys, "key", "left_semi"), "owners")
         bits, width = bitmap_of(owners, "owner")
         wanted = spark.sparkContext.broadcast(bits)
@@ -344,12 +345,11 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(bags, pa.binary())], ["owner", "key", "bag"])
 
         slot = F.pmod(F.xxhash64("owner"), F.lit(width))
-        found = texts.select("owner", "text", slot.alias("slot")).mapInArrow(bag, "owner bigint, key bigint, bag binary").join(owners, ["owner", "key"], "left_semi").select("key", "bag")
-        return materialize(found, name)
+        return owners, materialize(texts.select("owner", "text", slot.alias("slot")).mapInArrow(bag, "owner bigint, key bigint, bag binary"), name)
 
-    def compare(rows: DataFrame, bags: DataFrame, inside: bool, name: str) -> DataFrame:
+    def compare(rows: DataFrame, owners: DataFrame, bags: DataFrame, inside: bool, name: str) -> DataFrame:
         """Links found by opening groups (g) of members (role 0) for themselves or for queries (role 1)."""
-        dealt = rows.join(bags, "key").select("g", "role", "key", "bag").repartition(parts, "g").sortWithinPartitions("g", "role", "key")
+        dealt = rows.join(owners, "key").join(bags, ["owner", "key"]).select("g", "role", "key", "bag").repartition(parts, "g").sortWithinPartitions("g", "role", "key")
         return materialize(dealt.mapInArrow(_open(percent, inside), "a bigint, b bigint"), name)
 
     # groups of keys that share a leader
@@ -369,32 +369,32 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     rows = placed.join(many, "home", "left_semi").select(F.col("home").alias("g"), F.lit(0).alias("role"), "key")
     rows = rows.unionByName(many.where("leader IS NOT NULL").select(F.col("home").alias("g"), F.lit(1).alias("role"), F.col("leader").alias("key")))
     rows = materialize(rows, "rows_inside")
-    bags = bags_of(rows.select("key").distinct(), "bags_inside")
-    links = compare(rows, bags, True, "links_inside")
+    owners, bags = bags_of(rows.select("key").distinct(), "bags_inside")
+    links = compare(rows, owners, bags, True, "links_inside")
     known = materialize(components(links), "known")
 
     # members outside the largest component of their group become a group beside it
     split = placed.join(known, F.col("key") == F.col("node"), "left").select("key", "n", "most", "home", F.coalesce("component", "key").alias("inn"))
     largest = split.groupBy("home", "inn").agg(F.count(F.lit(1)).alias("c")).groupBy("home").agg(F.max(F.struct("c", "inn")).alias("m")).select("home", F.col("m.inn").alias("main"))
-    member = materialize(split.join(largest, "home").select("key", "n", "most", "home", "inn", F.xxhash64("home", F.col("inn") == F.col("main")).alias("g")), "members")
+    member = materialize(split.join(largest, "home").select("key", "n", "most", "home", "inn", F.xxhash64("home", F.col("inn") == F.col("main")).alias("g")), "placed_again")
     group = member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("most").alias("most"), F.count(F.lit(1)).alias("size"), F.min("inn").alias("inn"), F.max("inn").alias("inn_2"), F.min("home").alias("home"))
     group = materialize(group.withColumn("inn", F.when(F.col("inn") == F.col("inn_2"), F.col("inn")).otherwise(0)).drop("inn_2"), "groups")
+    member = materialize(member.select("key", "g").join(group.select("g", "low", "high", "most", "inn"), "g"), "members")
 
     # pairs of groups that share enough; the pairs of a long list are dealt out by blocks
     long = shared.groupBy("code").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") > LIST).select("code", F.ceil(F.col("keys") / LIST).cast("int").alias("sides"))
-    lists = shared.select("code", "key").join(member.select("key", "g"), "key").select("code", "g").distinct().join(materialize(long, "long_lists"), "code", "left")
-    side = F.pmod(F.xxhash64("g"), F.coalesce("sides", F.lit(1))).cast("int")
-    lists = lists.select("code", "g", side.alias("side"), F.explode(F.sequence(F.lit(0), F.coalesce("sides", F.lit(1)) - 1)).alias("other"))
+    lists = shared.select("code", "key").join(materialize(long, "long_lists"), "code", "left").join(member, "key")
+    sides = F.coalesce("sides", F.lit(1))
+    lists = lists.withColumn("side", F.pmod(F.xxhash64("g"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     block = F.xxhash64("code", F.least("side", "other"), F.greatest("side", "other"))
-    lists = lists.select(block.alias("block"), "g", "side", (F.col("side") != F.col("other")).cast("int").alias("cross"))
-    lists = lists.join(group.select("g", "low", "high", "most", "inn", "home"), "g").select("block", "g", "side", "cross", "low", "high", "most", "inn", "home")
-    meets = lists.repartition(parts, "block").sortWithinPartitions("block", "g", "cross").mapInArrow(_meet(percent), "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
-    of = lambda c: group.select(F.col("g").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("low", "high", "size")])
+    lists = lists.select(block.alias("block"), "g", F.when(F.col("side") == F.col("other"), -1).otherwise(F.col("side")).alias("side"), "low", "high", "most", "inn")
+    meets = lists.repartition(parts, "block").sortWithinPartitions("block", "g").mapInArrow(_meet(percent), "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
+    of = lambda c: group.select(F.col("g").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("low", "high", "size", "home")])
     sized = meets.where("shared > 0").join(of("g"), "g").join(of("q"), "q")
     fits = F.col("shared") >= least_shared(F.least("g_low", "q_low"), F.greatest("g_high", "q_high"), percent)
     turn = F.col("q_size") > F.col("g_size")  # the smaller group asks
     asked, asker = (F.when(turn, F.col(x)).otherwise(F.col(y)) for x, y in (("q", "g"), ("g", "q")))
-    pairs = materialize(sized.where(fits).select(asked.alias("g"), asker.alias("q"), F.least("q_size", "g_size").alias("queries")), "pairs")
+    pairs = materialize(sized.where(fits & (F.col("g_home") != F.col("q_home"))).select(asked.alias("g"), asker.alias("q"), F.least("q_size", "g_size").alias("queries")), "pairs")
 
     # links between groups; a group that many ask is copied for each share of its queries
     shares = pairs.groupBy("g").agg(F.ceil(F.sum("queries") / ASK).cast("int").alias("shares"))
@@ -402,8 +402,8 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     base = member.join(shares, "g").select("key", "g", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt")).select(salted("salt"), F.lit(0).alias("role"), "key")
     asking = pairs.select("g", "q").join(member.select(F.col("g").alias("q"), "key"), "q").join(shares, "g").select(salted(F.pmod(F.xxhash64("key"), "shares").cast("int")), F.lit(1).alias("role"), "key")
     rows = materialize(base.unionByName(asking), "rows_between")
-    missing = rows.select("key").distinct().join(bags, "key", "left_anti")
-    more = compare(rows, bags.unionByName(bags_of(missing, "bags_between")), False, "links_between")
+    owners_2, bags_2 = bags_of(rows.select("key").distinct().join(owners, "key", "left_anti"), "bags_between")
+    more = compare(rows, owners.unionByName(owners_2), bags.unionByName(bags_2), False, "links_between")
 
     # components of keys, then of documents
     whole = components(links.union(more))
