@@ -13,6 +13,7 @@ Defined results
 * null text counts as empty: its only token is the end-of-document id;
 * rows that repeat a doc_id are packed one by one; ties need no rule, since order is the input's;
 * texts of any length are cut into pieces; each token lies in exactly one piece;
+* a special string of the vocabulary inside a text is encoded as the tokenizer does by default (``plain``: as text);
 * other columns are never looked at.
 """
 
@@ -37,8 +38,8 @@ TIERS = (256, 512, 1024, 2048)
 EOS_ID = 1
 STEP_WINDOWS = 8
 FLUSH_TOKENS = 128 * 2048
-#: Distinct words whose ids a Python worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+#: Distinct words of at most LONGEST characters whose ids a Python worker remembers; the memory is emptied when full.
+REMEMBERED, LONGEST = 300_000, 64
 
 #: Texts of these characters only are split into words here; any other text goes to the tokenizer whole.
 _UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ÿ]")
@@ -59,7 +60,7 @@ class Unsafe(Exception):
 
 
 class Memory(dict):
-    """What a key encodes to, computed when first met; emptied when full."""
+    """What a short key encodes to, computed when first met; emptied when full."""
 
     def __init__(self, compute):
         super().__init__()
@@ -67,6 +68,8 @@ class Memory(dict):
 
     def __missing__(self, key: str) -> bytes:
         out = self.compute(key)
+        if len(key) > LONGEST:
+            return out
         if len(self) >= REMEMBERED:
             self.clear()
         self[key] = out
@@ -78,26 +81,30 @@ class Coder:
 
     A single space between two characters that are not white space always begins a new word of the vocabulary's
     split rule, so the stretches between such spaces are encoded one by one and remembered. A text with any other
-    space is split with a plain regular expression; a text with unusual characters goes to the tokenizer whole.
-    Words are merged by rank. Special strings are ordinary text."""
+    space is split with a plain regular expression; a text with unusual characters or with a special string of the
+    vocabulary goes to the tokenizer whole. Words are merged by rank. With ``plain``, special strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = plain
         spec = json.load(open(path, encoding="utf-8"))
         special = {t["content"] for t in spec.get("added_tokens", ())}
+        self.special = re.compile("|".join(map(re.escape, sorted(special)))) if special and not plain else None
         of = _printable_bytes()
         ranks = {bytes(of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
         merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.word = Memory(lambda w: array("I", merge(w)).tobytes()).__getitem__
         self.stretch = Memory(self.after_space).__getitem__
 
+    def by_tokenizer(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def split(self, text: str) -> bytes:
         if _UNUSUAL.search(text):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.by_tokenizer(text)
         return b"".join(map(self.word, _WORDS.findall(text)))
 
     def after_space(self, stretch: str) -> bytes:
@@ -106,6 +113,8 @@ class Coder:
         return self.split(" " + stretch)
 
     def encode(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return self.by_tokenizer(text)
         first, *rest = text.split(" ")
         if rest and first == first.rstrip():
             try:
@@ -115,19 +124,19 @@ class Coder:
         return self.split(text)
 
 
-_coders: dict[str, Coder] = {}
+_coders: dict[tuple[str, bool], Coder] = {}
 
 
-def coder(tokenizer: str) -> Coder:
+def coder(tokenizer: str, plain: bool = False) -> Coder:
     """The coder of a file, by path or by the name of an installed public vocabulary; one per Python worker."""
-    if tokenizer not in _coders:
+    if (tokenizer, plain) not in _coders:
         path = tokenizer
         if not os.path.isabs(path):
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        _coders[tokenizer] = Coder(path)
-    return _coders[tokenizer]
+        _coders[tokenizer, plain] = Coder(path, plain)
+    return _coders[tokenizer, plain]
 
 
 class Packer:
@@ -199,14 +208,16 @@ def _balanced(windows: list, width: int) -> Iterator[tuple[int, list]]:
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint, ids binary"
 
 
-def pack(df: DataFrame, tokenizer: str = TOKENIZER, tiers: tuple[int, ...] = TIERS, eos_id: int = EOS_ID, step_windows: int = STEP_WINDOWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; ``ids`` are its little-endian unsigned 32-bit token ids, ``tier`` the size of its window."""
+def pack(df: DataFrame, tokenizer: str = TOKENIZER, tiers: tuple[int, ...] = TIERS, eos_id: int = EOS_ID, step_windows: int = STEP_WINDOWS, id_col: str = "doc_id", text_col: str = "text", plain: bool = False) -> DataFrame:
+    """One row per piece; ``ids`` are its little-endian unsigned 32-bit token ids, ``tier`` the size of its window.
+
+    A special string inside a text gets its special id, as the tokenizer does by default; with ``plain`` it is text."""
     eos = array("I", [eos_id]).tobytes()
     types = [pa.int64()] * 6 + [pa.int32(), pa.int64(), pa.binary()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = coder(tokenizer).encode, Packer(tiers)
+        encode, packer = coder(tokenizer, plain).encode, Packer(tiers)
         base = TaskContext.get().partitionId() << 36
         windows_out, groups_out, pending = 0, 0, 0
 

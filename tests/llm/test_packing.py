@@ -11,7 +11,6 @@ from cloakframe.llm import packing as op
 
 def check(df):
     t = Tokenizer.from_file(public_tokenizers.path(op.TOKENIZER))
-    t.encode_special_tokens = True
     want = defaultdict(list)
     for r in df.select("doc_id", "text").collect():
         want[r.doc_id].append(t.encode(r.text or "", add_special_tokens=False).ids + [op.EOS_ID])
@@ -55,12 +54,16 @@ def test_real_rows(sample):
 
 
 def test_words_split_like_the_tokenizer():
-    coder = op.coder(op.TOKENIZER)
+    plain = Tokenizer.from_file(public_tokenizers.path(op.TOKENIZER))
     rng = random.Random(5)
     odd = ["a  b\n\n c\t\td  ", "it's  we'LL 're", "", " ", "x\x1cy", "é1²", "日本 ¿qué? «x»", "<|endoftext|> x", "a b", " lead", "trail ", "\n a", "a\n b", "a \nb"]
     odd += ["".join(rng.choice("ab1'.! \n\té") for _ in range(rng.randrange(30))) for _ in range(2000)]
+    odd += ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b <|endoftext| >", "w" * 500]
     for t in odd:
-        assert array("I", coder.encode(t)).tolist() == coder.whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert array("I", op.coder(op.TOKENIZER).encode(t)).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    plain.encode_special_tokens = True
+    for t in odd:
+        assert array("I", op.coder(op.TOKENIZER, plain=True).encode(t)).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_digest_column(spark):
