@@ -7,8 +7,9 @@ appended. Everything on this path is built-in Spark expressions.
 Defined results
 * null text counts as empty, so null and '' are equal texts;
 * of equal texts in a batch the row with the largest doc_id stays; a null doc_id is smaller than any other;
-* a row without id is decided like any other, but :func:`deduplicate`, which drops by id, lets it pass;
-* rows that repeat both doc_id and text are one document: each counts in group_size and each gets the same decision;
+* of rows that repeat both doc_id and text each counts in group_size, and one is kept: the last one read. Other columns
+  do not matter, so :func:`deduplicate` keeps any one of them;
+* a text that an earlier batch brought is not kept; its group_size counts the rows of all batches so far;
 * columns other than the id and the text are never looked at and pass through :func:`deduplicate` unchanged.
 """
 
@@ -19,9 +20,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, unused
 
-#: A digest with more than 1/HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of them, whatever the input.
+#: A digest with more than 1/HOT_SHARE of a batch's rows is hot; there are fewer than HOT_SHARE of them in any batch.
 HOT_SHARE = 1000
 
 
@@ -31,7 +32,8 @@ def digest_of(text: str | Column) -> Column:
 
 
 class DigestIndex:
-    """Digests seen so far: (digest BINARY, keep_id BIGINT, group_size BIGINT), one row a digest."""
+    """Digests seen so far: (digest BINARY, keep_id BIGINT, group_size BIGINT), one row per digest and batch that
+    brought it; keep_id is that of the first batch, later rows of a digest have none."""
 
     def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
         self.spark, self.table = spark, table
@@ -43,48 +45,69 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, hashed: DataFrame) -> DataFrame:
-        """Add (doc_id, digest) rows. Gives the groups of the batch whose digests were not in the index before.
-
-        One row a digest leaves each map task (partial aggregation), so a digest with a third of all rows costs its
-        reducer one row per map task."""
-        groups = hashed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            fresh = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-            fresh = materialize(fresh, "fresh")  # the table cannot be read and appended to in one job
+    def append(self, groups: DataFrame) -> DataFrame:
+        """Add a batch's groups (digest, keep_id, keep_row, group_size). Gives them back with keep_id and group_size over
+        all batches, and ``fresh``: whether no earlier batch had the digest. New digests are what a sort-merge anti-join
+        leaves; the index side of all joins needs no shuffle, since its buckets are its partitioning."""
+        if not self.exists():
+            out = materialize(groups.withColumn("fresh", F.lit(True)), "groups")
         else:
-            fresh = groups
-        writer = fresh.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-        writer.mode("append").saveAsTable(self.table)
-        return fresh
+            seen = self.read().hint("merge")
+            fresh = groups.join(seen.select("digest"), "digest", "left_anti").withColumn("fresh", F.lit(True))
+            # the rows of a digest are in one bucket, so this sum needs no exchange either
+            before = groups.select(F.col("digest").alias("d")).join(seen, F.col("d") == F.col("digest")).groupBy("digest").agg(F.max("keep_id").alias("first_id"), F.sum("group_size").alias("before"))
+            known = groups.join(before, "digest").select("digest", F.col("first_id").alias("keep_id"), "keep_row", (F.col("group_size") + F.col("before")).alias("group_size"), F.lit(False).alias("fresh"), F.col("group_size").alias("added"))
+            out = materialize(fresh.withColumn("added", F.col("group_size")).unionByName(known), "groups")  # a table cannot be read and appended to in one job
+        added = F.col("added") if "added" in out.columns else F.col("group_size")
+        rows = out.select("digest", F.when(F.col("fresh"), F.col("keep_id")).alias("keep_id"), added.alias("group_size"))
+        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
+        return out.select("digest", "keep_id", "keep_row", "group_size", "fresh")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def classify(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Add a batch to the index and decide each of its rows: (doc_id, keep_id, group_size, kept, text_sha256).
-
-    A row is kept if its doc_id is the index's keep_id, so texts that an earlier batch brought are dropped. The
-    texts are read once; what is shuffled is an id and a digest. Groups too large for one task are looked up in a
-    broadcast table of fewer than HOT_SHARE rows, all others by sort-merge join with the bucketed index."""
-    hashed = materialize(df.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest")), "digests")
-    index.append(hashed)
-    entries = index.read().select("digest", "keep_id", "group_size")
+def _classified(df: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, keep_id, group_size, kept) of a batch's rows, after adding the batch to the index.
+
+    The texts are read once; what is shuffled is an id, a row number and a digest. One row a digest leaves each map task
+    (partial aggregation), so a digest with a third of all rows costs its reducer one row per map task. Groups too large
+    for one task are looked up in a broadcast table of fewer than HOT_SHARE rows, all others by sort-merge join."""
+    numbered = df.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    hashed = materialize(numbered, "digests")  # row numbers hold from here on
+    largest = hashed.groupBy("digest", "doc_id").agg(F.max("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    groups = largest.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.coalesce(F.max_by("row", "doc_id"), F.max("row")).alias("keep_row"), F.sum("n").alias("group_size"))
     total = hashed.count()
-    hot = F.broadcast(entries.where(F.col("group_size") > max(1000, total // HOT_SHARE)))
-    cold = hashed.join(hot.select("digest"), "digest", "left_anti").join(entries.hint("merge"), "digest")
-    both = hashed.join(hot, "digest").unionByName(cold)
-    return both.select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    hot_digests = hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1000, total // HOT_SHARE)).select("digest")
+    hot_digests = F.broadcast(materialize(hot_digests, "hot"))
+    entries = index.append(groups)
+    cold = hashed.join(hot_digests, "digest", "left_anti").join(entries.hint("merge"), "digest")
+    both = hashed.join(F.broadcast(entries.join(hot_digests, "digest", "left_semi")), "digest").unionByName(cold)
+    return both.select("doc_id", "digest", "keep_id", "group_size", (F.col("fresh") & (F.col("row") == F.col("keep_row"))).alias("kept"))
+
+
+def classify(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Add a batch to the index and decide each of its rows: (doc_id, keep_id, group_size, kept, text_sha256)."""
+    return _classified(df, index, id_col, text_col).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of a batch that stay, with all their columns. Only the ids that go are joined; they are a table
-    of known size, so the planner broadcasts them when they are few and sort-merges otherwise."""
-    dropped = materialize(classify(df, index, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return df.join(dropped, df[id_col] == dropped["_dropped"], "left_anti")
+    """The rows of a batch that stay, with all their columns.
+
+    What goes is joined by id and digest: a table of known size, so the planner broadcasts it when it is small and
+    sort-merges otherwise. Rows that repeat id and text of a row that stays are told from it by nothing, so only those
+    few are gathered, and one of each is taken."""
+    name, digest = unused(df, "_id"), unused(df, "_digest")
+    found = materialize(_classified(df, index, id_col, text_col), "decided")
+    by_pair = materialize(found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"), "by_pair")
+    pair = lambda rows: rows.select(F.col("doc_id").alias(name), F.col("digest").alias(digest))
+    gone, again = pair(by_pair.where("NOT kept")), pair(by_pair.where("kept"))
+    same = df[id_col].eqNullSafe(F.col(name)) & (digest_of(df[text_col]) == F.col(digest))
+    left = df.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(again, same, "left_semi").withColumn(digest, digest_of(text_col)).dropDuplicates([id_col, digest]).drop(digest)
+    return left.join(again, same, "left_anti").unionByName(once)
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:
@@ -98,7 +121,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
-g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
-SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, lower(d.h) AS text_sha256
-FROM d JOIN g USING (h)
+g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h),
+k AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) = 1 AS kept FROM d)
+SELECT k.doc_id, g.keep_id, g.group_size, k.kept, lower(k.h) AS text_sha256
+FROM k JOIN g USING (h)
 """
