@@ -10,7 +10,11 @@ the n-grams and summed per document. Rows of the exchanges are not single n-gram
 (some megabytes of text) sends each hash bucket the distinct n-grams it holds, with their local counts; the bucket
 adds up the counts of all units and answers each with the totals in the order asked. So an n-gram in a third of all
 documents costs a row per unit, not per occurrence, and a run costs about four bytes an n-gram. The number of buckets
-grows with the corpus, so that a bucket's share stays bounded.
+grows with the corpus, so that a bucket's share stays bounded; a unit sends a bucket a row only if it has n-grams for
+it, so rows never outnumber n-grams, and the buckets' work and the units' work are both in proportion to n-grams.
+
+n-grams are told apart by hashes of as many bits as keep the expected share of n-grams that meet another one below
+2 ** -SPARE_BITS: 51 bits for 10^8 words, 64 for 10^12. Past that it is words / 2 ** 64: one in a million at 10^13.
 
 Defined results
 * null or empty text has no words: n_tokens 0, score 0, mean_log_score null;
@@ -34,7 +38,10 @@ from .common import documents, expand, materialize, sequences, squeeze, text_blo
 ORDER, MIN_COUNT, ALPHA = 3, 2, 0.4
 #: Bytes of text in a unit, and words of the corpus for each bucket of the count tables.
 UNIT_BYTES, BUCKET_WORDS = 10 << 20, 3 << 20
-HASH_BITS = 48
+#: Units whose answers one task reads, one after the other.
+TASK_UNITS = 8
+#: Bits of a hash beyond those that number the words of the corpus.
+SPARE_BITS = 24
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,15 +72,22 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def ngrams(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """HASH_BITS-bit hashes of the n-grams of a unit, in the order of their last words."""
-    return sequences(hashes, counts, n)[0] >> np.uint64(64 - HASH_BITS)
+def hash_bits(total: int) -> int:
+    """Bits of the hashes for a corpus of so many words."""
+    return min(64, max(1, total).bit_length() + SPARE_BITS)
+
+
+def ngrams(hashes: np.ndarray, counts: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Hashes of the n-grams of a unit, in the order of their last words."""
+    return sequences(hashes, counts, n)[0] >> np.uint64(64 - bits)
 
 
-def bucket_cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of hashes begins in a sorted run."""
-    width = -(-(1 << HASH_BITS) // buckets)
-    return np.searchsorted(distinct, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
+def bucket_runs(distinct: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, end) of the runs of a sorted array that fall into one bucket's range of hashes, without empty runs."""
+    width = -(-(1 << bits) // buckets)
+    bucket = distinct // np.uint64(width) if width < 1 << 64 else np.zeros(len(distinct), np.uint64)
+    ends = np.flatnonzero(np.concatenate([bucket[1:] != bucket[:-1], [True]])) + 1 if len(distinct) else np.zeros(0, np.int64)
+    return bucket[ends - 1].astype(np.int64), ends
 
 
 def _words_of(counts: bytes, vocabulary: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +103,19 @@ def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha:
     units = materialize(df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(_units, UNITS), "lm_units")
     total = units.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_WORDS))
-    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), order * buckets)
+    bits = hash_bits(total)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(least, order * buckets)
+    unit_partitions = max(least, -(-units.count() // TASK_UNITS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for unit, *packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 hashes, counts = _words_of(*packed)
                 for n in range(1, order + 1):
-                    distinct, times = np.unique(ngrams(hashes, counts, n), return_counts=True)
-                    cuts = bucket_cuts(distinct, buckets)
-                    rows = [(b, distinct[i:j], times[i:j]) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+                    distinct, times = np.unique(ngrams(hashes, counts, n, bits), return_counts=True)
+                    of, ends = bucket_runs(distinct, buckets, bits)
+                    rows = [(b, distinct[i:j], times[i:j]) for b, i, j in zip(of.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False)]
                     m = len(rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([n] * m, pa.int32()), pa.array([b for b, _, _ in rows], pa.int32()), pa.array([unit] * m, pa.int64()), pa.array([squeeze(np.diff(d, prepend=np.uint64(0))) for _, d, _ in rows], pa.binary()), pa.array([squeeze(t) for _, _, t in rows], pa.binary())],
@@ -121,13 +138,15 @@ def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha:
         """A unit's documents: counts of all orders beside each word, then the formula."""
         ids, counts = left["ids"].to_pylist()[0], left["counts"].to_pylist()[0]
         hashes, counts = _words_of(counts, left["vocabulary"].to_pylist()[0], left["at"].to_pylist()[0])
-        told = {(n, b): t for n, b, t in zip(right["n"].to_pylist(), right["bucket"].to_pylist(), right["totals"].to_pylist(), strict=True)}
+        told = [[] for _ in range(order + 1)]
+        for n, b, t in zip(right["n"].to_pylist(), right["bucket"].to_pylist(), right["totals"].to_pylist(), strict=True):
+            told[n].append((b, t))
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
         c = np.zeros((order + 1, len(hashes)))
         for n in range(1, order + 1):
-            distinct, at = np.unique(ngrams(hashes, counts, n), return_inverse=True)
+            distinct, at = np.unique(ngrams(hashes, counts, n, bits), return_inverse=True)
             if len(distinct):
-                got = np.concatenate([expand(told[n, b]) for b in range(buckets) if (n, b) in told]).astype(float)
+                got = np.concatenate([expand(t) for _, t in sorted(told[n])]).astype(float)
                 c[n, place >= n - 1] = got[at]
         with np.errstate(divide="ignore", invalid="ignore"):
             log = np.log(c[1] / max(1, total))
@@ -141,7 +160,8 @@ def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha:
         sums = np.bincount(row, log, len(counts))
         return pa.table([pa.array(ids, pa.int64()), pa.array(counts), pa.array(sums), pa.array(sums / np.maximum(1, counts), mask=counts == 0), pa.array(np.bincount(row, backed, len(counts)).astype(np.int64))], names=out_type.names)
 
-    return units.drop("n_words").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(sum_up, out_type)
+    asked_by, answered = (f.repartition(unit_partitions, "unit") for f in (units.drop("n_words"), answers))
+    return asked_by.groupBy("unit").cogroup(answered.groupBy("unit")).applyInArrow(sum_up, out_type)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from cloakframe.llm import lm_scoring as op
@@ -24,5 +25,15 @@ def test_real_rows_in_many_units_and_buckets(sample, monkeypatch):
     check(sample, order=2)
 
 
+def test_hashes_have_room_at_any_size():
+    assert all(words / 2.0 ** op.hash_bits(words) <= 2.0**-op.SPARE_BITS for words in (1, 1000, 10**8, 5 * 10**9, 10**12))
+    assert op.hash_bits(10**14) == 64
+    distinct = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2))
+    for buckets in (1, 7, 1000):
+        of, ends = op.bucket_runs(distinct, buckets, 64)
+        assert ends[-1] == 50 and (np.diff(of) > 0).all() and 0 <= of.min() and of.max() < buckets
+    assert len(op.bucket_runs(distinct[:0], 3, 64)[0]) == 0
+
+
 def test_empty(nothing):
     assert op.score(nothing).count() == 0
