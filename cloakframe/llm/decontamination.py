@@ -5,8 +5,8 @@ and sparsely, for the blocks of BLOCK_ITEMS items that hold the term, the larges
 BM25 weight divided by the item's score against itself, so one threshold serves items of any length. Number of items,
 their mean length and document frequencies are those of the whole benchmark.
 
-Every passage of every document is a query. Block maxima of a passage's terms are summed per block, for all passages of
-a stretch of text together; a passage without a block that reaches the threshold is done. Any other walks the postings
+Every passage of every document is a query. Block maxima of a passage's terms are summed per block, first by stride for
+all passages of a stretch of text together; a passage without a block that reaches the threshold is done. Any other walks the postings
 (block-max WAND): cursors in order of item, the pivot is the first item that the lists' maxima allow to reach the
 threshold; if the block's maxima do not, the cursors leave the block, else they move up to the pivot and it is scored.
 All items at or above the threshold are retrieved, not a top k.
@@ -46,7 +46,7 @@ from .common import PUNCT, documents, materialize, sequences, text_blocks, words
 K1, B = 1.2, 0.75
 #: Share of an item's self-score that a passage must reach to be retrieved, and the overlaps that verify it.
 THRESHOLD, QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.7, 0.7
-BLOCK_ITEMS, MIN_STRIDE, SHARD_BYTES = 8, 64, 4 << 20
+BLOCK_ITEMS, MIN_STRIDE, SHARD_BYTES = 4, 64, 4 << 20
 #: Block maxima summed at once, and the tolerance of sums against the threshold.
 CELLS, SLACK = 1 << 21, 1e-9
 
@@ -207,8 +207,10 @@ class Index:
             upper = bound[:-1] + np.where(joined[low:high, None], bound[1:], 0)
             for p in (np.flatnonzero(upper.max(axis=1) >= threshold - SLACK) + low).tolist():
                 a, b = np.searchsorted(stride, [p, p + 1 + int(joined[p])])
-                r, inside = row_of[p], None
-                for item, score in self.walk(np.unique(term[a:b]), threshold):
+                r, inside, terms = row_of[p], None, np.unique(term[a:b])
+                if self.bounds(np.zeros(len(terms), np.int64), terms, 0, 1).max() < threshold - SLACK:
+                    continue  # its two strides share terms, which their sums count twice
+                for item, score in self.walk(terms, threshold):
                     if inside is None:
                         at = first[r] + (p - base[r]) * step
                         inside = hashes[at : min(at + 2 * step, first[r] + counts[r])]
