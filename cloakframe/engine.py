@@ -112,14 +112,14 @@ def report(df: DataFrame, text_col: str = "text", color: bool = False) -> str:
     """A readable report of the first row of a scanned frame."""
     row = df.first()
     mark = (lambda s, on: f"\x1b[31m{s}\x1b[0m" if on else f"\x1b[33m{s}\x1b[0m") if color else (lambda s, on: s)
-    lines = [f"Input:  {row[text_col]}"]
+    lines = [f"Text:   {row[text_col]}"]
     if not row.entities:
-        return "\n".join([*lines, "No PII detected."])
+        return "\n".join([*lines, "Nothing personal found."])
     for e in row.entities:
         sure = e.confidence if e.confidence is not None else 0.95
-        lines.append(f"  {mark(e.entity_type, sure >= 0.8):<16} {e.text!r} [{e.start}:{e.end}] confidence: {sure:.2f}")
+        lines.append(f"  {e.start}-{e.end} {mark(e.entity_type, sure >= 0.8)} {e.text!r}, sure by {sure:.2f}")
     s = row.privacy_score
-    return "\n".join([*lines, f"Output: {row.sanitized_text}", f"Privacy Risk Score: {s.score:.2f} ({s.level})", f"  {s.total_entities} entities detected, {s.sanitized} sanitized, {s.leaked} leaked"])
+    return "\n".join([*lines, f"Result: {row.sanitized_text}", f"Risk:   {s.level}, {s.score:.2f} of 1 ({s.total_entities} spans: {s.sanitized} rewritten, {s.leaked} left in)"])
 
 
 def main(arguments: list[str] | None = None) -> int:

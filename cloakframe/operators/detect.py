@@ -7,19 +7,33 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, running
 from ..functions.names import name_spans
 from ..functions.patterns import SPAN, pattern_spans
 
 PERSON = "PERSON"
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["end"] > b["start"]) & (a["start"] < b["end"])
+def without_overlap(spans: Column, taken: Column) -> Column:
+    """The spans that overlap none of the taken ones: an anti-join on ranges inside the row, by one sort.
 
+    Neither side overlaps itself. In order of start, a span is free if all taken ones before it end before it starts,
+    and the one right after it, if taken, starts after it ends (a span there starts later still)."""
 
-def without_overlap(spans: Column, taken: Column) -> Column:
-    """The spans that overlap none of the taken ones: an anti-join on ranges inside the row."""
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: overlaps(s, t)))
+    def free(sides: Column) -> Column:
+        tagged = lambda side, kind: F.transform(sides[side], lambda s, k: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), k.alias("at")))
+        rows = F.sort_array(F.concat(tagged("taken", 0), tagged("spans", 1)))
+
+        def chosen(both: Column) -> Column:
+            rows, reach = both["rows"], both["reach"]
+            late = lambda r, k: F.coalesce((F.get(rows, k + 1)["kind"] == 0) & (F.get(rows, k + 1)["start"] < r["end"]), F.lit(False))
+            kept = F.filter(rows, lambda r, k: (r["kind"] == 1) & (F.get(reach, k) <= r["start"]) & ~late(r, k))
+            return F.transform(kept, lambda r: F.get(sides["spans"], r["at"]))
+
+        reached = lambda rows: F.struct(rows.alias("rows"), running(F.transform(rows, lambda r: F.when(r["kind"] == 0, r["end"]).otherwise(0)), F.greatest).alias("reach"))
+        return bound(bound(rows, reached), chosen)
+
+    return F.when(F.size(taken) == 0, spans).otherwise(bound(F.struct(spans.alias("spans"), taken.alias("taken")), free))
 
 
 def survivors(spans: Column) -> Column:
@@ -42,17 +56,28 @@ def name_entities(text: Column) -> Column:
 DETECTORS: dict[str, Callable[[Column], Column]] = {"patterns": pattern_spans, "names": name_entities}
 
 
+#: Detectors whose spans never overlap each other; those of any other go through the sweep first.
+APART = {"patterns", "names"}
+
+
 def register(name: str, detector: Callable[[Column], Column]) -> None:
+    """Add a detector. Of its own spans that overlap, the sweep of :func:`survivors` keeps the more confident."""
     DETECTORS[name] = detector
+    APART.discard(name)
+
+
+def _spans_of(name: str, text: Column) -> Column:
+    found = DETECTORS[name](text)
+    return found if name in APART else survivors(F.coalesce(found, F.array().cast(f"array<{SPAN}>")))
 
 
 def entities(text: Column, detectors: Sequence[str] = ("patterns", "names")) -> Column:
     """Spans of the detectors in turn; each adds what overlaps nothing found before. An unknown name is an error."""
     if unknown := [d for d in detectors if d not in DETECTORS]:
         raise ValueError(f"unknown detector {unknown[0]!r}; there are {sorted(DETECTORS)}")
-    found = DETECTORS[detectors[0]](text)
+    found = _spans_of(detectors[0], text)
     for name in detectors[1:]:
-        found = F.concat(found, without_overlap(DETECTORS[name](text), found))
+        found = F.concat(found, without_overlap(_spans_of(name, text), found))
     return F.coalesce(found, F.array().cast(f"array<{SPAN}>"))
 
 
@@ -61,9 +86,9 @@ def detect(df: DataFrame, text_col: str = "text", detectors: Sequence[str] = ("p
     expression is evaluated twice."""
     if unknown := [d for d in detectors if d not in DETECTORS]:
         raise ValueError(f"unknown detector {unknown[0]!r}; there are {sorted(DETECTORS)}")
-    df = df.withColumn(out, DETECTORS[detectors[0]](F.col(text_col)))
+    df = df.withColumn(out, _spans_of(detectors[0], F.col(text_col)))
     for name in detectors[1:]:
-        df = df.withColumn("_more", DETECTORS[name](F.col(text_col))).withColumn(out, F.concat(out, without_overlap(F.col("_more"), F.col(out)))).drop("_more")
+        df = df.withColumn("_more", _spans_of(name, F.col(text_col))).withColumn(out, F.concat(out, without_overlap(F.col("_more"), F.col(out)))).drop("_more")
     return df.withColumn(out, F.coalesce(out, F.array().cast(f"array<{SPAN}>"))).withColumn("entity_count", F.size(out)).withColumn("has_pii", F.size(out) > 0)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import product
+from statistics import fmean
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,15 +55,22 @@ def features(text: str) -> tuple:
     return phonetic.codes(text), [phonetic.codes(t) for t in tokens], frozenset(tokens), " ".join(sorted(tokens)), sim.trigrams_of(text.lower())
 
 
+#: Which code of a query may meet which of a candidate (0 first, 1 second): a second code never meets a second one.
+ADMITTED = ((0, 0), (0, 1), (1, 0))
+
+
+def sounds_like(codes: tuple[str, str], others: list[tuple[str, str]]) -> float:
+    """How well one text's codes agree with the best of some others."""
+    return max(phonetic.code_similarity(codes[i], other[j]) for other, (i, j) in product(others, ADMITTED))
+
+
 def phonetic_signal(query: str, candidate: str) -> float:
-    """The best of whole-text codes (not second with second) and the mean, over query tokens, of their best match."""
-    ((qp, qs), q_codes, *_), ((cp, cs), c_codes, *_) = features(query), features(candidate)
-    like = phonetic.code_similarity
-    whole = max(like(qp, cp), like(qp, cs), like(qs, cp))
-    if not q_codes or not c_codes:
-        return whole
-    best = [max(max(like(p, x), like(p, y), like(s, x) if s else 0.0) for x, y in c_codes) for p, s in q_codes]
-    return max(whole, sum(best) / len(best))
+    """The better of two views: the texts as wholes, and the query's tokens each beside their best candidate token."""
+    (whole_q, tokens_q, *_), (whole_c, tokens_c, *_) = features(query), features(candidate)
+    views = [sounds_like(whole_q, [whole_c])]
+    if tokens_q and tokens_c:
+        views.append(fmean(sounds_like(codes, tokens_c) for codes in tokens_q))
+    return max(views)
 
 
 def signal_values(queries: list[str], candidates: list[str]) -> list[list[float]]:

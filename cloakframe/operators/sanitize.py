@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import bound, chunked, cut
 from .policy import ALLOW, PSEUDONYMIZE, REDACT, Policy, policy_of
 
 # Pseudonyms of persons, chosen by hash.
@@ -68,13 +69,14 @@ def redacted(entity_type: Column) -> Column:
 
 def spliced(text: Column, spans: Column) -> Column:
     """The text with every (start, end, replacement) of an array in order of start put in place of what it covers."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["parts"], F.array(text.substr(a["at"] + 1, s["start"] - a["at"]), s["replacement"])).alias("parts")),
-    )
-    tail = lambda d: text.substr(d["at"] + 1, F.length(text))
-    return F.element_at(F.transform(F.array(done), lambda d: F.concat(F.array_join(d["parts"], ""), tail(d))), 1)
+
+    def parts(both: Column) -> Column:
+        chunks, spans = both["chunks"], both["spans"]
+        before = lambda k: F.coalesce(F.get(spans, k - 1)["end"], F.lit(0))
+        head = F.transform(spans, lambda s, k: F.concat(cut(chunks, before(k), s["start"]), s["replacement"]))
+        return F.concat(F.array_join(head, ""), cut(chunks, before(F.size(spans)), F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(bound(F.struct(chunked(text).alias("chunks"), spans.alias("spans")), parts))
 
 
 def sanitize(df: DataFrame, policy: str | Policy = "default", text_col: str = "text", entities_col: str = "entities") -> DataFrame:

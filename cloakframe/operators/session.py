@@ -45,19 +45,26 @@ class Session:
     def __init__(self, capacity: int = CAPACITY, config: Config = DEFAULT):
         self.capacity, self.config = capacity, config
         self.turn, self.made, self.alive = 0, 0, True
+        self.shift: int | None = None
         self.entities: dict[int, dict] = {}
         self.by_key: dict[tuple, set[int]] = defaultdict(set)
-        self.by_turn: list[set[int]] = []
 
     def next_turn(self) -> int:
         self.turn += 1
-        self.by_turn.append(set())
         return self.turn
 
     def advance_to(self, turn: int) -> None:
         """Turns never run backwards: a late one counts with the current turn."""
-        while self.turn < turn:
+        self.turn = max(self.turn, turn)
+
+    def take_turn(self, turn) -> None:
+        """Move to a row's turn. Numbers that begin at 0 or below are counted from 1; no number is the next turn."""
+        if turn is None or turn != turn:
             self.next_turn()
+            return
+        if self.shift is None:
+            self.shift = 1 - min(int(turn), 1)
+        self.advance_to(int(turn) + self.shift)
 
     def _need_alive(self) -> None:
         if not self.alive:
@@ -65,14 +72,14 @@ class Session:
 
     def _touch(self, entity_id: int) -> None:
         self.entities[entity_id] = self.entities.pop(entity_id)
-        if self.by_turn:
-            self.by_turn[-1].add(entity_id)
+        if self.turn:
+            self.entities[entity_id]["turns"].add(self.turn)
 
     def add(self, entity_type: str, text: str) -> int:
         self._need_alive()
         self.made += 1
         keys = keys_of(text)
-        self.entities[self.made] = {"type": entity_type, "canonical": text, "variants": [text], "mentions": 1, "keys": keys, "first_turn": self.turn, "last_turn": self.turn}
+        self.entities[self.made] = {"type": entity_type, "canonical": text, "variants": [text], "mentions": 1, "keys": keys, "turns": set(), "first_turn": self.turn, "last_turn": self.turn}
         for k in keys:
             self.by_key[k].add(self.made)
         self._touch(self.made)
@@ -102,10 +109,10 @@ class Session:
         return sum(e["type"] == entity_type for e in self.entities.values())
 
     def together(self, a: int, b: int) -> float:
-        """Co-occurrence: shared turns, weighted by recency, against the rarer entity's turns."""
-        turns = [{t for t, ids in enumerate(self.by_turn) if i in ids} for i in (a, b)]
+        """Co-occurrence: shared turns, weighted by recency, against the rarer entity's turns. A forgotten one has none."""
+        turns = [self.entities[i]["turns"] if i in self.entities else set() for i in (a, b)]
         shared = turns[0] & turns[1]
-        return min(1.0, sum(math.exp(-DECAY * (self.turn - t)) for t in shared) / min(map(len, turns))) if shared else 0.0
+        return min(1.0, sum(math.exp(-DECAY * (self.turn - t + 1)) for t in shared) / min(map(len, turns))) if shared else 0.0
 
     def resolve(self, entity_type: str, text: str) -> dict:
         """Decide about one mention and apply the decision. Of equal posteriors the lowest id wins."""
@@ -149,7 +156,7 @@ class Session:
 
     def destroy(self) -> None:
         """Forget everything; adding mentions afterwards is an error. Memory is not overwritten."""
-        self.entities.clear(), self.by_key.clear(), self.by_turn.clear()
+        self.entities.clear(), self.by_key.clear()
         self.alive = False
 
     def dump(self) -> bytes:
@@ -172,7 +179,8 @@ def fold(df: DataFrame, session_col: str, turn_col: str, text_col: str = "text",
     """(session_id, turn, text, sanitized_text, decisions, summary): summary only on the last row of a session.
 
     Detection is a narrow expression before the shuffle. Sessions are streamed, so a long one costs its state, not
-    its rows. Rows of a session with equal turns are taken in order of their text; null texts count as empty."""
+    its rows. Rows of a session with equal turns are taken in order of their text and count as one turn; null texts
+    count as empty; a row without turn comes first and counts as a turn of its own. Turns are whole numbers."""
     found = detect(df.select(F.col(session_col).alias("session_id"), F.col(turn_col).alias("turn"), F.coalesce(text_col, F.lit("")).alias("text")), "text", detectors).select("session_id", "turn", "text", "entities")
     kind = found.schema["session_id"].dataType.simpleString()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -188,7 +196,7 @@ def fold(df: DataFrame, session_col: str, turn_col: str, text_col: str = "text",
                     if rows and state is not None:
                         rows[-1]["summary"] = state.summary()
                     state, current, first = Session(capacity, config), row.session_id, False
-                state.next_turn()
+                state.take_turn(row.turn)
                 text, decisions = state.process(row.text, _entities_of(row.entities))
                 rows.append({"session_id": row.session_id, "turn": row.turn, "text": row.text, "sanitized_text": text, "decisions": decisions, "summary": None})
             held = rows.pop() if rows else None  # it may be the last of its session

@@ -40,6 +40,7 @@ def policy_file(path: str) -> Policy:
 
 
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of files in a folder as a stream of turns: (session_id: the file, turn: order of arrival, text)."""
+    """Lines of files in a folder as a stream of turns: (session_id: the file, turn: order within a batch, text);
+    resolve them with ``numbered=False``."""
     lines = spark.readStream.text(folder)
     return lines.select(F.input_file_name().alias("session_id"), F.monotonically_increasing_id().alias("turn"), F.col("value").alias("text"))

@@ -19,24 +19,29 @@ END_WORDS = ("quit", "exit", "q")
 
 class SessionProcessor(StatefulProcessor):
     """Keeps a :class:`Session` per key. A turn that arrives late counts with the current turn. An idle session is
-    forgotten after ``ttl_ms``; a line that is an end word forgets it at once."""
+    forgotten after ``ttl_ms``; a line that is an end word forgets it at once, and lines after it begin a new one. Turns
+    that only give the order of a batch's rows (``numbered`` false) count one by one."""
 
-    def __init__(self, capacity: int = CAPACITY, config: Config = DEFAULT, ttl_ms: int | None = None):
-        self.capacity, self.config, self.ttl_ms = capacity, config, ttl_ms
+    def __init__(self, capacity: int = CAPACITY, config: Config = DEFAULT, ttl_ms: int | None = None, numbered: bool = True):
+        self.capacity, self.config, self.ttl_ms, self.numbered = capacity, config, ttl_ms, numbered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", "data binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        session = Session.load(bytes(self.state.get()[0])) if self.state.exists() else Session(self.capacity, self.config)
-        out, over = [], False
+        session = Session.load(bytes(self.state.get()[0])) if self.state.exists() else None
+        out = []
         for row in pd.concat(list(rows)).sort_values(["turn", "text"], kind="stable").itertuples(index=False):
-            if over := row.text.strip().lower() in END_WORDS:
-                break
-            session.next_turn()
+            if row.text.strip().lower() in END_WORDS:
+                session = None
+                continue
+            session = session or Session(self.capacity, self.config)
+            session.take_turn(row.turn if self.numbered else None)
             text, decisions = session.process(row.text, _entities_of(row.entities))
-            out.append({"session_id": key[0], "turn": row.turn, "text": row.text, "sanitized_text": text, "decisions": decisions, "summary": session.summary()})
-        if over:
+            out.append({"session_id": key[0], "turn": row.turn, "text": row.text, "sanitized_text": text, "decisions": decisions, "summary": None})
+        if session and out:
+            out[-1]["summary"] = session.summary()
+        if session is None:
             self.state.clear()
         else:
             self.state.update((session.dump(),))
@@ -47,12 +52,12 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
-def resolve_stream(stream: DataFrame, session_col: str, turn_col: str, text_col: str = "text", detectors: tuple[str, ...] = ("patterns", "names"), capacity: int = CAPACITY, config: Config = DEFAULT, ttl_ms: int | None = None) -> DataFrame:
-    """A stream of turns to (session_id, turn, text, sanitized_text, decisions, summary so far). Needs the RocksDB
-    state store (see :func:`configure`)."""
+def resolve_stream(stream: DataFrame, session_col: str, turn_col: str, text_col: str = "text", detectors: tuple[str, ...] = ("patterns", "names"), capacity: int = CAPACITY, config: Config = DEFAULT, ttl_ms: int | None = None, numbered: bool = True) -> DataFrame:
+    """A stream of turns to (session_id, turn, text, sanitized_text, decisions, summary): the summary so far is on a
+    session's last row of a batch. Needs the RocksDB state store (see :func:`configure`)."""
     found = detect(stream.select(F.col(session_col).alias("session_id"), F.col(turn_col).alias("turn"), F.coalesce(text_col, F.lit("")).alias("text")), "text", detectors).select("session_id", "turn", "text", "entities")
     schema = f"session_id {found.schema['session_id'].dataType.simpleString()}, turn {found.schema['turn'].dataType.simpleString()}, text string, sanitized_text string, decisions array<{DECISION}>, summary array<{SUMMARY}>"
-    processor = SessionProcessor(capacity, config, ttl_ms)
+    processor = SessionProcessor(capacity, config, ttl_ms, numbered)
     return found.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 

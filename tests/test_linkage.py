@@ -1,3 +1,4 @@
+import math
 """Similarity, codes, pair scores, sessions in batch and as a stream."""
 
 import json
@@ -175,3 +176,16 @@ def test_cooccurrence_join_equals_state(spark):
             mentions.append(("s", turn, s.resolve("PERSON", t)["assigned_entity_id"]))
     rows = session.cooccurrence(spark.createDataFrame(mentions, "session_id string, turn int, entity_id int")).collect()
     assert {(r.entity_a, r.entity_b): round(r.score, 9) for r in rows} == {(a, b): round(s.together(a, b), 9) for a in s.entities for b in s.entities if a < b and s.together(a, b)}
+
+
+def test_turns_with_gaps_and_late_ones(spark):
+    s = session.Session()
+    for turn, texts in ((0, ["Ann Lee"]), (4, ["Ann Lee", "Bob Ray"]), (2, ["Bob Ray"]), (None, ["Cid Poe"])):
+        s.take_turn(turn)
+        for t in texts:
+            s.resolve("PERSON", t)
+    assert s.turn == 6 and s.entities[1]["turns"] == {1, 5} and s.entities[2]["turns"] == {5} and s.entities[3]["turns"] == {6}
+    assert s.together(1, 2) == pytest.approx(math.exp(-session.DECAY * 2))
+    rows = [("a", 1, "Ann Lee is here"), ("a", 7, "Ann Lee again"), ("a", None, "before all"), ("a", 7, "Bob Ray too")]
+    folded = session.fold(spark.createDataFrame(rows, "session_id string, turn int, text string"), "session_id", "turn").collect()
+    assert [(r.turn, r.text) for r in folded] == [(None, "before all"), (1, "Ann Lee is here"), (7, "Ann Lee again"), (7, "Bob Ray too")]
