@@ -38,8 +38,17 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without: there a
+    folder in the warehouse serves."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+
+
+#: Scratch tables written by this process and not released yet, in order.
+_made: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the planner a true size for choosing joins. The files stay until :func:`release`."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
 
@@ -61,6 +71,28 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mark() -> int:
+    """A point in the order of scratch tables, for :func:`release_since`."""
+    return len(_made)
+
+
+def release_since(spark: SparkSession, point: int, keep: DataFrame | None = None) -> None:
+    """Delete the scratch tables made since a point, and all one-run digest indexes, but for the files that ``keep``
+    reads: what a stage needed, once its result is written."""
+    kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    staying = []
+    for path in _made[point:]:
+        if path.split(":", 1)[-1].lstrip("/") in kept:
+            staying.append(path)
+            continue
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[point:] = staying
+    for t in spark.catalog.listTables():
+        if t.name.startswith("digest_index_"):
+            spark.sql(f"DROP TABLE {t.name}")
+
+
 # -- Arrow -------------------------------------------------------------------------------------------------------
 
 

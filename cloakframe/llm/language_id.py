@@ -12,6 +12,7 @@ Defined results
 * null text, or text without a letter: language 'und', score 0;
 * no labelled document at all: 'und' everywhere; one language only: that one, with score 1;
 * ties go to the language that sorts first; rows that repeat an id are predicted one by one;
+* a row without id has no remainder: its held_out is null, and it is never learned from;
 * empty tables give empty results; other columns are never looked at.
 """
 

@@ -9,7 +9,8 @@ The model is fitted on at most TRAIN_ROWS rated documents, chosen by hash of the
 Defined results
 * null or empty text has no trigram: its score is 0, so the thresholds alone grade it;
 * null ratings are not used; one rated grade only: that grade with certainty; no rating at all: null results;
-* a document with several ratings is used once per rating; rows that repeat an id are predicted one by one;
+* a document with several different ratings is used once for each; of several texts of an id the smallest is learned
+  from; rows that repeat an id are predicted one by one;
 * other columns are never looked at.
 """
 
@@ -102,9 +103,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> OrdinalModel | None:
     """Fit on the ``train_rows`` ratings with the smallest hash of their id. Only those rows are joined and only
-    their features come to the driver: at most 6 bytes a distinct trigram bucket."""
-    chosen = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(grade_col).cast("double").alias("label")).orderBy(F.xxhash64("i"), "label").limit(train_rows)
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i").select("label", "text").mapInArrow(_features, "label double, buckets binary, shares binary")
+    their features come to the driver: one row a rating, whatever repeats, and 6 bytes a distinct trigram bucket of it, so
+    at most TRAIN_ROWS * 2 ** BUCKET_BITS * 6 bytes."""
+    chosen = ratings.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(grade_col).cast("double").alias("label")).distinct().orderBy(F.xxhash64("i"), "label").limit(train_rows)
+    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i").groupBy("i", "label").agg(F.min("text").alias("text")).select("label", "text").mapInArrow(_features, "label double, buckets binary, shares binary")
     got = [(r.label, bytes(r.buckets), bytes(r.shares)) for r in found.collect()]
     got.sort()  # the order of rows must not matter
     if not got:

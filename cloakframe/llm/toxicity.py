@@ -10,9 +10,10 @@ is one narrow pass.
 
 Defined results
 * null or empty text has no words: the intercepts alone decide;
-* labels that are null count as not in the category; a category without positive (or without negative) rows gets the
-  constant probability 0 (or 1); no labels at all: 0 everywhere;
-* a document with several label rows is used once per row; rows that repeat an id are predicted one by one;
+* a row whose label in a category is null is not used for that category; a category without positive (or without
+  negative) rows gets the constant probability 0 (or 1); no labels at all: 0 everywhere;
+* a document with several different label rows is used once for each; of several texts of an id the smallest is learned
+  from; rows that repeat an id are predicted one by one;
 * other columns are never looked at.
 """
 
@@ -93,17 +94,22 @@ class Chain:
         self.names, self.links = names, []
 
     def fit(self, row: np.ndarray, bucket: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> None:
+        """labels: 1, 0, or nan where unknown, (rows, categories). A link is fitted on the rows whose label is known; every
+        row gets an out-of-fold probability for the links after it."""
         n = len(labels)
         fold, earlier = np.arange(n) % folds, np.zeros((n, 0))
+
+        def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at, use = np.cumsum(rows) - 1, rows[row]
+            return at[row[use]], bucket[use], earlier[rows]
+
         for k in range(len(self.names)):
-            self.links.append(Link(row, bucket, earlier, labels[:, k]))
+            known = ~np.isnan(labels[:, k])
+            self.links.append(Link(*part(known), labels[known, k]))
             out = np.zeros(n)
             for f in range(folds) if k + 1 < len(self.names) else ():
-                inside = fold != f
-                at, use = np.cumsum(inside) - 1, inside[row]
-                link = Link(at[row[use]], bucket[use], earlier[inside], labels[inside, k])
-                at, use = np.cumsum(~inside) - 1, ~inside[row]
-                out[~inside] = link.predict(at[row[use]], bucket[use], earlier[~inside])
+                inside = known & (fold != f)
+                out[fold == f] = Link(*part(inside), labels[inside, k]).predict(*part(fold == f))
             earlier = np.column_stack([earlier, out])
         self.wanted = np.any([link.weights != 0 for link in self.links], axis=0)
 
@@ -129,9 +135,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Chain | None:
     """Fit on the ``train_rows`` label rows with the smallest hash of their id; only their features come here."""
-    flags = F.concat(*[F.when(F.expr(e), F.lit("1")).otherwise(F.lit("0")) for _, e in categories])
-    chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), flags.alias("labels")).orderBy(F.xxhash64("i"), "labels").limit(train_rows)
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i").select("labels", "text").mapInArrow(_features, "labels string, buckets binary")
+    flags = F.concat(*[F.when(F.expr(e), F.lit("1")).when(~F.expr(e), F.lit("0")).otherwise(F.lit("?")) for _, e in categories])
+    chosen = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), flags.alias("labels")).where(F.col("labels").rlike("[01]")).distinct().orderBy(F.xxhash64("i"), "labels").limit(train_rows)
+    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "i").groupBy("i", "labels").agg(F.min("text").alias("text")).select("labels", "text").mapInArrow(_features, "labels string, buckets binary")
     got = sorted((bytes(r.buckets), r.labels) for r in found.collect())
     if not got:
         return None
@@ -140,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, id_col: str =
     bucket = np.concatenate([np.frombuffer(b, np.uint32) for b, _ in got]).astype(np.int64)
     row = np.repeat(np.arange(len(got)), [len(b) // 4 for b, _ in got])
     chain = Chain([name for name, _ in categories])
-    chain.fit(row, bucket, np.array([[c == "1" for c in s] for _, s in got], float))
+    chain.fit(row, bucket, np.array([[np.nan if c == "?" else float(c) for c in s] for _, s in got]))
     return chain
 
 

@@ -111,3 +111,64 @@ def test_edges(op, edge, nothing, docs, labels, spark):
     assert op.predict(edge, None, *extra).count() == edge.count()
     same = spark.createDataFrame([(4, 1, None), (4, 1, 0), (None, 1, 1), (5, None, 0)], "doc_id bigint, quality int, toxic int")
     assert op.predict(edge, op.fit(edge, same), *extra).count() == edge.count()
+
+
+def test_plain_versions_agree():
+    """Each model's forward pass against plain loops."""
+    rng, text = np.random.default_rng(2), "Some été text, long enough: " * 12
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, 70, 70, len(text.encode())])
+    rows = [bytes(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    model = quality.OrdinalModel([0.0, 1.0, 2.0])
+    model.weights, model.theta = rng.normal(size=len(model.weights)).astype(np.float32), np.array([-0.5, 0.7])
+    tails = model.tails(data, offsets)
+    for r, t in enumerate(rows):
+        weights = [float(model.weights[quality.trigrams(np.frombuffer(t[k : k + 3], np.uint8), np.array([0, 3]))[0][0]]) for k in range(len(t) - 2)]
+        eta = quality.SCALE * sum(weights) / max(1, len(weights))
+        assert tails[r] == pytest.approx([sig(eta - x) for x in model.theta], abs=1e-6)
+
+    chain = toxicity.Chain(["a", "b"])
+    row, bucket = toxicity.present(data, offsets)
+    chain.fit(np.concatenate([row, row + 3]), np.concatenate([bucket, bucket]), np.array([[1, 0], [0, np.nan], [1, 1]] * 2, float), folds=2)
+    for link in chain.links:
+        link.weights, link.chain, link.bias = rng.normal(size=len(link.weights)).astype(np.float32), rng.normal(size=len(link.chain)), float(rng.normal())
+    chain.wanted = np.ones(len(chain.links[0].weights), bool)
+    got = chain.predict(data, offsets)
+    for r in range(3):
+        mine, earlier = set(bucket[row == r].tolist()), []
+        for link in chain.links:
+            earlier.append(sig(sum(float(link.weights[b]) for b in mine) + sum(c * p for c, p in zip(link.chain, earlier, strict=True)) + link.bias))
+        assert got[r] == pytest.approx(earlier, abs=1e-6)
+
+    net = language_id.Network(["x", "y", "z"], hidden=4)
+    prob, marks = net.pooled(data, offsets)
+    for r, t in enumerate(rows):
+        total, seen = np.zeros(3), np.zeros(3, int)
+        for at in range(0, len(t), language_id.SEGMENT):
+            part = t[at : at + language_id.SEGMENT]
+            padded = part + bytes(language_id.SEGMENT - len(part))
+            logits = np.zeros((len(padded), 3)) + net.bias[:, 0]
+            for layer, order in ((net.ahead, range(len(padded))), (net.back, range(len(padded) - 1, -1, -1))):
+                h = np.zeros(4)
+                for k in order:
+                    a = layer.p["inputs"][:, padded[k]].astype(float)
+                    g = sig(a[:8] + layer.p["gates"] @ h)
+                    n = np.tanh(a[8:] + g[4:] * (layer.p["state"] @ h))
+                    h = n + g[:4] * (h - n)
+                    logits[k] += layer.p["out"] @ h
+            p = np.exp(logits[: len(part)])
+            total += (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+            seen += np.bincount(p.argmax(axis=1), minlength=3)
+        assert prob[r] == pytest.approx(total / max(1, len(t)), abs=1e-4) and marks[r].sum() == len(t) and abs(marks[r] - seen).sum() <= 2
+
+
+def test_unknown_and_repeated_labels(spark):
+    docs = spark.createDataFrame([(k, "vile words here" if k % 2 else "fine words here") for k in range(200)] + [(1, "vile words here")] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2 if k < 100 else None, None) for k in range(200)] + [(1, 1, None)] * 5, "doc_id bigint, toxic int, quality int")
+    assert quality.fit(docs, labels) is None
+    chain = toxicity.fit(docs, labels)
+    p = {r.doc_id: r.p_toxic for r in toxicity.predict(docs, chain, [n for n, _ in toxicity.CATEGORIES]).collect()}
+    assert p[151] > 0.9 and p[150] < 0.1  # rows without a label teach nothing
+    rated = labels.select("doc_id", "toxic", F.lit(1).alias("quality"))
+    assert quality.fit(docs, rated) is not None

@@ -47,3 +47,18 @@ def test_edge_rows(spark, edge, nothing):
     assert kept.columns == edge.columns
     assert not {1, 2, 3, 12, 17} & {r.doc_id for r in kept.collect()}
     assert language_id.UNDETERMINED not in {r.lang for r in kept.collect()}
+
+
+def test_a_run_leaves_only_its_result(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from cloakframe.llm import common
+
+    root = common.scratch_root(spark).split(":", 1)[-1]
+    where = f"{root}/llm-{spark.sparkContext.applicationId}"
+    before = set(os.listdir(where)) if os.path.exists(where) else set()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = set(os.listdir(where)) - before
+    assert len(left) == 1 and out.count() > 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
