@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import decontamination, exact_dedup, language_id, ngram_jaccard, packing
-from cloakframe.llm.common import documents, materialize, unused
+from cloakframe.llm.common import documents, mark, materialize, release_since, unused
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts one row with the largest doc_id stays."""
     return exact_dedup.deduplicate(docs, exact_dedup.fresh_index(spark))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar texts the row with the smallest doc_id stays."""
+    """Of each component of similar texts the document with the smallest doc_id stays."""
     return ngram_jaccard.representatives(docs)
 
 
@@ -53,6 +53,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
+    point = mark()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        release_since(spark, point, keep=docs)  # what the stage needed, and its input
     return docs
