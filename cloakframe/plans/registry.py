@@ -203,9 +203,25 @@ def record_scan(spark, d):
     return found.select("c_custkey", "key", F.element_at("entities", 1)["text"].alias("entity_text"), "entity_count")
 
 
+#: A text with identifiers of a customer, as an expression that both engines read. The tax number is right for some.
+IDENTIFIERS = """concat('ssn ', lpad(cast(c_custkey % 1000 as varchar(9)), 3, '0'), '-', lpad(cast(c_custkey % 100 as varchar(9)), 2, '0'), '-', lpad(cast(c_custkey % 10000 as varchar(9)), 4, '0'),
+ ' key ', case when c_custkey % 3 = 0 then 'sk_' when c_custkey % 3 = 1 then 'api-' else 'pk' end, replace(c_name, '#', ''), 'abcdefghijkl',
+ ' tax ', case when c_custkey % 4 = 0 then '529.982.247-25' else '529.982.247-24' end,
+ ' call +1 ', cast(200 + c_custkey % 700 as varchar(9)), '-555-', lpad(cast(c_custkey % 10000 as varchar(9)), 4, '0'),
+ ' card ', case when c_custkey % 5 = 0 then '4111 1111 1111 1111' else '4111 1111 1111 1112' end, ' mail ', c_custkey, '.x@site.org host 192.168.', c_custkey % 300, '.7')"""
+
+
 def event_records(spark, d):
-    """Event properties hold numbers only, so nothing is scanned."""
-    return detect_records(table(spark, d, "events").select("event_id", F.col("props").alias("record")), ["event_id"], "record", PATTERNS).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """Events as records that are maps: their kind, which holds nothing, and an origin made from event and user."""
+    origin = F.concat(F.lit("from 10.1."), F.pmod("event_id", F.lit(256)), F.lit("."), F.pmod("user_id", F.lit(200)) + 10)
+    record = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("origin"), origin)
+    found = detect_records(table(spark, d, "events").select("event_id", record.alias("record")), ["event_id"], "record", PATTERNS)
+    return found.select("event_id", "key", F.element_at("entities", 1)["text"].alias("entity_text"), "entity_count")
+
+
+def identifiers(spark, d):
+    """Every kind of identifier in texts made from customers: social security and tax numbers, keys, phones, cards."""
+    return exploded(detect(table(spark, d, "customer").select("c_custkey", F.expr(IDENTIFIERS).alias("text")), "text", PATTERNS), ["c_custkey"])
 
 
 def nation_pairs(spark, d):
@@ -322,6 +338,7 @@ QUERIES = {
     "validator_checks": checks,
     "record_scan": record_scan,
     "event_records": event_records,
+    "identifiers": identifiers,
     "jaccards": jaccards,
     "osa_pairs": osa_pairs,
     "phonetic_codes": phonetic_codes,
@@ -386,7 +403,8 @@ SELECT g, n::INT AS n_spans, kept::INT AS n_kept, total::INT AS sum_start FROM r
 FROM (SELECT c_custkey, lpad((c_custkey * 7919 + 4000000000000)::VARCHAR, 13, '4') AS card, lpad((c_custkey * 104729 % 100000000000)::VARCHAR, 11, '0') AS cpf, (c_custkey % 300) || '.' || (c_custkey % 7) || '.' || (c_custkey % 11) || '.' || (c_custkey % 13) AS ip FROM customer)""",
     "record_scan": """SELECT c_custkey, 'note' AS key, '10.0.' || (c_custkey % 256) || '.' || (c_custkey % 200 + 10) AS entity_text, 1 AS entity_count FROM customer
 UNION ALL SELECT c_custkey, 'mail', 'c' || c_custkey || '@example.com', 1 FROM customer WHERE c_custkey % 3 = 0""",
-    "event_records": "SELECT 'k' AS key, count(*) AS n FROM events WHERE json_type(props, '$.k') = 'VARCHAR' HAVING count(*) > 0",
+    "event_records": "SELECT event_id, 'origin' AS key, '10.1.' || (event_id % 256) || '.' || (user_id % 200 + 10) AS entity_text, 1 AS entity_count FROM events",
+    "identifiers": sql_entities(f"(SELECT c_custkey, {IDENTIFIERS} AS text FROM customer)", "c_custkey"),
     "jaccards": f"SELECT a, b, {_JACCARD(_GRAMS('a'), _GRAMS('b'))} AS trigram, {_JACCARD(_TOKENS('a'), _TOKENS('b'))} AS token FROM ({_PAIRS})",
     "minhash_signatures": f"SELECT p_partkey, max(v) FILTER (j = 1)::BIGINT AS first, max(v) FILTER (j = 64)::BIGINT AS last, sum(v)::BIGINT AS total FROM ({_SIGNATURE(('p_partkey', 'p_name'), 'part')}) GROUP BY 1",
     "block_tokens_bands": f"""
