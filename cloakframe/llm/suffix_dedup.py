@@ -8,12 +8,14 @@ Equal windows have equal anchors at equal places, so only suffixes that start at
 to be merged with each other, to a depth of WINDOW bytes on either side.
 
 1. Anchors are counted; an anchor seen once cannot lie in a repeated window.
-2. Every shard (task) sends its suffixes at repeated anchors: the right context, and the bytes before the anchor,
-   which are the transform's column read backwards. Contexts equal within a shard travel once, with their number.
-3. A bucket merges what the shards sent. Their interleave is refined symbol by symbol over the right context; where
-   a block splits, its common prefix is known. From there the order of the suffixes one byte further left follows by
-   a stable partition on the preceding byte (the step backwards through the transform), never by sorting suffixes
-   again. At step j, neighbours that agree on j bytes to the left and WINDOW - j to the right are a repeated window.
+2. Every shard (a stretch of a task) sorts its own suffixes at repeated anchors once and sends them as a run: the
+   right context, and the bytes before the anchor, which in this order are the columns of the shard's transform.
+   Contexts equal within a shard travel once, with their number.
+3. A bucket merges the runs without sorting suffixes again. At first its rows are one block, run after run; round by
+   round the next symbol refines the interleave of the runs (a stable partition of each block, in which every run keeps
+   its own order), and where a block splits, the common prefix of its neighbours is known. From there the order of the
+   suffixes one byte further left follows by a stable partition on the preceding byte (the step backwards through the
+   transform). At step j, neighbours that agree on j bytes to the left and WINDOW - j to the right are a repeated window.
 4. The repeated stretch around an anchor goes back to its occurrences; only documents that lose bytes are joined.
 
 Defined results
@@ -26,10 +28,12 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,8 @@ WINDOW, K = 200, 32
 SEGMENT = 1 << 19
 #: Contexts merged at once by a bucket's task.
 MERGE_ROWS = 1 << 15
+#: Contexts sorted at once by a shard.
+SHARD_ROWS = 1 << 16
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,37 +89,42 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int
     return tuple(np.concatenate(o) for o in out)
 
 
+def interleave(bucket: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp): rows by bucket and right context, and the bytes that each shares with the one before (-1: first of
+    its bucket). The rows come as runs of shards, every run in this order already; runs are only merged."""
+    rows, window = right.shape
+    symbols = np.pad(right, ((0, 0), (0, -window % 4))).view(">u4").astype(np.uint64)
+    sizes = np.bincount(bucket)
+    block = (np.cumsum(sizes) - sizes)[bucket]  # place of the block's first row in the merged order
+    lcp = np.full(rows, window, np.int32)
+    lcp[block] = -1
+    live = np.arange(rows)
+    for depth in range(symbols.shape[1]):
+        live = live[np.bincount(block[live], minlength=rows)[block[live]] > 1]
+        if not len(live):
+            break
+        key = block[live].astype(np.uint64) << np.uint64(32) | symbols[live, depth]
+        z = np.argsort(key, kind="stable")  # keys ascend within a run: a merge of the runs
+        key, old, at = key[z], block[live[z]], np.arange(len(z))
+        first = np.concatenate([[True], old[1:] != old[:-1]])
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        new = old + np.maximum.accumulate(np.where(head, at, 0)) - np.maximum.accumulate(np.where(first, at, 0))
+        cut = np.flatnonzero(head & ~first)
+        apart = (key[cut] ^ key[cut - 1]).astype(">u4").view(np.uint8).reshape(-1, 4) != 0
+        lcp[new[cut]] = 4 * depth + apart.argmax(axis=1)
+        block[live[z]] = new
+    return np.argsort(block, kind="stable"), lcp
+
+
 def merge(bucket: np.ndarray, left: np.ndarray, right: np.ndarray, low: np.ndarray, high: np.ndarray, many: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(least j, largest j) of the repeated windows of each distinct context; -1 where there is none.
 
-    bucket: the anchor of each row. left: bytes before the anchor, nearest first, (rows, window - K). right: bytes
-    from the anchor on, (rows, WINDOW). low, high: the j of the row's own windows. many: context seen twice or more."""
+    Rows are runs of shards, each by bucket and right context. bucket: the number of each row's anchor. left: bytes
+    before the anchor, nearest first, (rows, window - K). right: bytes from the anchor on, (rows, WINDOW). low, high:
+    the j of the row's own windows. many: context seen twice or more."""
     rows = len(bucket)
     least, most = np.where(many, low, -1), np.where(many, high, -1)
-    # interleave of the right contexts, refined by eight bytes a round; lcp[i]: bytes row i shares with the one before
-    symbols = np.ascontiguousarray(np.pad(right, ((0, 0), (0, -window % 8)))).view(">u8").astype(np.uint64)
-    order = np.argsort(bucket, kind="stable")
-    block = np.cumsum(np.concatenate([[0], np.diff(bucket[order]) != 0])) if rows else np.zeros(0, int)
-    lcp = np.full(rows, window, np.int32)
-    lcp[np.concatenate([[True], block[1:] != block[:-1]])] = -1
-    for depth in range(symbols.shape[1]):
-        mates = block[1:] == block[:-1]
-        live = np.flatnonzero(np.concatenate([[False], mates]) | np.concatenate([mates, [False]]))
-        if not len(live):
-            break
-        s = symbols[order[live], depth]
-        by = np.lexsort((s, block[live]))
-        order[live], s = order[live][by], s[by]
-        b = block[live]
-        split = (b[1:] == b[:-1]) & (s[1:] != s[:-1])
-        if split.any():
-            where = live[1:][split]
-            apart = (s[1:][split] ^ s[:-1][split]).astype(">u8").view(np.uint8).reshape(-1, 8) != 0
-            lcp[where] = 8 * depth + apart.argmax(axis=1)
-            step = np.zeros(rows, np.int64)
-            step[where] = 1
-            block = block + np.cumsum(step)
-            block = np.cumsum(np.concatenate([[0], block[1:] != block[:-1]]))
+    order, lcp = interleave(bucket, right)
     # one step to the left at a time: stable partition by the preceding byte
     group = np.cumsum(np.concatenate([[0], np.diff(bucket[order]) != 0]))
     place = np.arange(rows)  # of each row of the current order in the order of right contexts
@@ -159,15 +170,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-CONTEXTS = "row_key bigint, at bigint, context bigint, anchor bigint, low int, high int, n int, bytes binary"
+CONTEXTS = "row_key bigint, at bigint, context bigint, shard bigint, place int, anchor bigint, low int, high int, n int, bytes binary"
 
 
 def _contexts(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Occurrences (row_key, at, context) and, per task, distinct contexts (context, anchor, low, high, n, bytes)."""
+        """Occurrences (row_key, at, context) and the shards' distinct contexts (context, shard, place, anchor, low, high,
+        n, bytes), place by place in the order of anchor and right context."""
         names = [c.split()[0] for c in CONTEXTS.split(", ")]
-        types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+        types = [pa.int64()] * 4 + [pa.int32(), pa.int64()] + [pa.int32()] * 3 + [pa.binary()]
         seen: dict[int, int] = {}  # context -> times sent by this task, two at most
+        held: list[tuple[int, bytes, int, int, int, bytes]] = []  # anchor, right context, context, low, high, bytes
+        shard = TaskContext.get().partitionId() << 32
+
+        def run_of_shard() -> pa.RecordBatch:
+            held.sort(key=itemgetter(0, 1))
+            anchor, _, context, low, high, raw = zip(*held, strict=True)
+            columns = [context, np.full(len(held), shard), np.arange(len(held)), anchor, low, high, np.ones(len(held)), raw]
+            none = pa.nulls(len(held), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, *(pa.array(c).cast(t) for c, t in zip(columns, types[2:], strict=True))], names)
+
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in text_blocks(batch.column(1)):
@@ -175,55 +197,60 @@ def _contexts(bits):
                 ok = np.flatnonzero(in_bitmap(bits.value, h))
                 if not len(ok):
                     continue
-                row, at, h, low, high = row[ok], at[ok], h[ok], low[ok], high[ok]
-                raw, begin, end = data.tobytes(), (at - high).tolist(), (at + WINDOW - low).tolist()
-                ids, sent = [], []
-                for i, (a, b, j0, j1) in enumerate(zip(begin, end, low.tolist(), high.tolist(), strict=True)):
-                    c = xxhash.xxh3_64_intdigest(raw[a:b], seed=j0 << 8 | j1) - (1 << 63)
+                row, at, h, low, high = row[ok], at[ok], h[ok].view(np.int64), low[ok], high[ok]
+                raw, ids = data.tobytes(), []
+                for i, (p, j0, j1) in enumerate(zip(at.tolist(), low.tolist(), high.tolist(), strict=True)):
+                    part = raw[p - j1 : p + WINDOW - j0]
+                    c = xxhash.xxh3_64_intdigest(part, seed=j0 << 8 | j1) - (1 << 63)
                     ids.append(c)
                     if (times := seen.get(c, 0)) < 2:  # a third time would tell nothing new
                         seen[c] = times + 1
-                        sent.append(i)
-                pick = np.array(sent, np.int64)
-                none = pa.nulls(len(pick), pa.int64())
+                        held.append((int(h[i]), part[j1:], c, j0, j1, part))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row]), pa.array(at - offsets[row]), pa.array(ids, pa.int64()), *[pa.nulls(len(ok), t) for t in types[3:]]], names)
-                yield pa.RecordBatch.from_arrays(
-                    [none, none, pa.array([ids[i] for i in sent], pa.int64()), pa.array(h[pick].view(np.int64)), pa.array(low[pick].astype(np.int32)), pa.array(high[pick].astype(np.int32)), pa.array(np.ones(len(pick), np.int32)), pa.array([raw[begin[i] : end[i]] for i in sent], pa.binary())],
-                    names,
-                )
+                if len(held) >= SHARD_ROWS:
+                    yield run_of_shard()
+                    held.clear()
+                    shard += 1
+        if held:
+            yield run_of_shard()
 
     return run
 
 
 def _merge_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (anchor, context, low, high, n, bytes) to (context, least, most) of contexts with repeats.
-    Whole buckets are gathered up to about MERGE_ROWS distinct contexts and merged together."""
-    held: list[list] = []  # [anchor, context, low, high, n, bytes], contexts distinct
+    """Rows (anchor, shard, place, context, low, high, n, bytes) in the order of the first three to (context, least, most)
+    of contexts with repeats. Whole buckets are gathered up to about MERGE_ROWS distinct contexts and merged together."""
+    held: list[list] = []  # [anchor, shard, context, low, high, n, bytes]
+    known: dict[int, list] = {}  # the last anchor's contexts; one that other shards sent too is held once
 
     def solve(rows: list[list]) -> pa.RecordBatch:
-        anchor, context, low, high, n, raw = zip(*rows, strict=True)
+        anchor, shard, context, low, high, n, raw = zip(*rows, strict=True)
+        bucket = np.cumsum(np.concatenate([[0], np.diff(np.array(anchor)) != 0]))
+        runs = np.argsort(np.array(shard), kind="stable")  # of one shard: by bucket, and there as the shard sorted them
         low, high = np.array(low), np.array(high)
         left = np.zeros((len(rows), WINDOW - K + 1), np.uint8)
         right = np.zeros((len(rows), WINDOW), np.uint8)
-        for i, b in enumerate(raw):
-            cell = np.frombuffer(b, np.uint8)
-            j = high[i]
+        for i, row in enumerate(runs.tolist()):
+            cell = np.frombuffer(raw[row], np.uint8)
+            j = high[row]
             left[i, :j] = cell[:j][::-1]
             right[i, : len(cell) - j] = cell[j:]
-        bucket = np.cumsum(np.concatenate([[0], np.diff(np.array(anchor)) != 0]))
-        least, most = merge(bucket, left, right, low, high, np.array(n) > 1)
+        least, most = merge(bucket[runs], left, right, low[runs], high[runs], np.array(n)[runs] > 1)
         hit = np.flatnonzero(most >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(context, np.int64)[hit]), pa.array(least[hit].astype(np.int32)), pa.array(most[hit].astype(np.int32))], ["context", "least", "most"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(context, np.int64)[runs[hit]]), pa.array(least[hit].astype(np.int32)), pa.array(most[hit].astype(np.int32))], ["context", "least", "most"])
 
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and held[-1][1] == row[1] and held[-1][0] == row[0]:
-                held[-1][4] += row[4]
+        for anchor, shard, _, context, low, high, n, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and held[-1][0] != anchor:
+                known = {}
+                if len(held) >= MERGE_ROWS:
+                    yield solve(held)
+                    held = []
+            if context in known:
+                known[context][5] += n
                 continue
-            if len(held) >= MERGE_ROWS and held[-1][0] != row[0]:
-                yield solve(held)
-                held = []
-            held.append(list(row))
+            known[context] = row = [anchor, shard, context, low, high, n, raw]
+            held.append(row)
     if held:
         yield solve(held)
 
@@ -235,8 +262,8 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     counted = texts.select("text").mapInArrow(_count, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     bits = spark.sparkContext.broadcast(bitmap_of(materialize(counted, "anchors"), "anchor", hashed=True)[0])
     found = materialize(texts.mapInArrow(_contexts(bits), CONTEXTS), "contexts")
-    sent = found.where("bytes IS NOT NULL").select("anchor", "context", "low", "high", "n", "bytes")
-    merged = sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(_merge_buckets, "context bigint, least int, most int")
+    sent = found.where("bytes IS NOT NULL").select("anchor", "shard", "place", "context", "low", "high", "n", "bytes")
+    merged = sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "shard", "place").mapInArrow(_merge_buckets, "context bigint, least int, most int")
     extents = materialize(merged, "extents")
     hits = found.where("bytes IS NULL").select("row_key", "at", "context").join(extents, "context")
     stretch = F.struct((F.col("at") - F.col("most")).alias("begin"), (F.col("at") + WINDOW - F.col("least")).alias("end"))
@@ -294,7 +321,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return plain.unionByName(changed)
 
 
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
     total = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["begin"])
