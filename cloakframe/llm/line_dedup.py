@@ -14,6 +14,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ DIVISOR = 3
 #: Factor and modulus of the rolling hash over two neighbouring lines; products stay far below 2**63 in any engine.
 FACTOR, MODULUS = 31, 1000003
 MIN_LINES = 2
-#: Most numbers in the broadcast filter in front of the exact join.
-COARSE = 1 << 20
+#: Most bits of a broadcast filter in front of an exact join: 64 MB.
+MOST_BITS = 29
 
 
 def line_hash(line: Column) -> Column:
@@ -53,12 +55,21 @@ def chunk_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return ends.select("row_key", "doc_id", "is_null", pieces.alias("pieces"))
 
 
+def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with a column near: false only if the long key is none of the wanted ones.
+
+    The keys' bitmap, about 16 bits a key and 2^MOST_BITS bits at most, is broadcast in pieces of 4 KB."""
+    bits = 1 << min(MOST_BITS, max(16, math.ceil(math.log2(16 * max(1, wanted.count())))))
+    slot = F.pmod(key, F.lit(bits)) + 1
+    pieces = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    at = rows.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot").cast("int"))
+    bit = F.expr("shiftright(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) AS int), _at % 8) & 1 = 1")
+    return at.join(F.broadcast(pieces), "_bucket", "left").withColumn("near", F.coalesce(bit, F.lit(False))).drop("_bucket", "_bits", "_slot", "_at")
+
+
 def _few(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Left-semi join on a long hash that spares the shuffle most rows: first against the distinct remainders of the
-    wanted hashes, a broadcast of at most COARSE numbers whatever the input, then exactly."""
-    coarse = wanted.select(F.pmod(key, F.lit(COARSE)).alias("_c")).distinct()
-    near = rows.withColumn("_c", F.pmod(key, F.lit(COARSE))).join(F.broadcast(coarse), "_c", "left_semi").drop("_c")
-    return near.join(wanted, key, "left_semi")
+    """Left-semi join on a long hash that spares the shuffle most rows: first by the bitmap, then exactly."""
+    return _marked(rows, key, wanted).where("near").drop("near").join(wanted, key, "left_semi")
 
 
 def repeated(pieces: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -77,11 +88,16 @@ def repeated(pieces: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept_text) for every row."""
-    pieces = chunk_arrays(df, id_col, text_col, divisor)
-    gone = materialize(repeated(pieces, min_lines).groupBy("row_key").agg(F.collect_set("place").alias("gone")), "chunk_gone")
-    both = pieces.join(gone, "row_key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    left = both.withColumn("left", F.filter("pieces", lambda p, k: ~F.array_contains("gone", k)))
+    """(doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept_text) for every row.
+
+    Texts that lose nothing are told by a bitmap and never shuffled."""
+    gone = materialize(repeated(chunk_arrays(df, id_col, text_col, divisor), min_lines).groupBy("row_key").agg(F.collect_set("place").alias("gone")), "chunk_gone")
+    rows = _marked(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("row_key")), "row_key", gone)
+    none = F.array().cast("array<int>")
+    whole = chunk_arrays(rows.where("NOT near"), divisor=divisor).withColumn("gone", none)
+    cut = chunk_arrays(rows.where("near"), divisor=divisor).join(gone, "row_key", "left").withColumn("gone", F.coalesce("gone", none))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), F.col("gone"))
+    left = whole.unionByName(cut).withColumn("left", F.transform(stay, lambda k: F.get("pieces", k)))
     count = lambda a: F.aggregate(a, F.lit(0), lambda s, p: s + p["n_lines"])
     return left.select(
         "doc_id",

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from cloakframe.llm import line_dedup as op
 
 
@@ -35,6 +37,36 @@ def test_edge_rows(edge):
     assert sorted((tuple(r) for r in op.line_dedup(edge).collect()), key=repr) == expected(rows)
 
 
+def test_texts_that_lose_nothing_stay(spark, sample):
+    """Without broadcasts by size, only the rows that the bitmap lets through meet an exchange; same result."""
+    want = sorted((tuple(r) for r in op.line_dedup(sample).collect()), key=repr)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = op.line_dedup(sample)
+        assert sorted((tuple(r) for r in out.collect()), key=repr) == want
+        union = next(c for c in _nodes(out._jdf.queryExecution().sparkPlan()) if c.nodeName() == "Union")
+        whole = union.children().apply(0).toString()
+        assert "SortMergeJoin" not in whole and whole.count("BroadcastHashJoin") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def _nodes(plan):
+    yield plan
+    for k in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(k))
+
+
+def test_bitmap_loses_no_key(spark):
+    keys = spark.range(0, 400000, 7).select(F.xxhash64("id").alias("k"))
+    rows = spark.range(400000).select("id", F.xxhash64("id").alias("k"))
+    got = op._marked(rows, "k", keys).groupBy((F.col("id") % 7 == 0).alias("wanted"), "near").count().collect()
+    counts = {(r.wanted, r.near): r["count"] for r in got}
+    assert counts[True, True] == 57143 and (True, False) not in counts
+    assert counts[False, True] < 0.1 * 342857
+
+
 def test_real_rows(sample):
     rows = [(r.doc_id, r.text) for r in sample.collect()]
     got = op.line_dedup(sample).collect()
