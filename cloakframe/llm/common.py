@@ -230,15 +230,12 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of undirected edges (a, b): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder. A node with very many
-    neighbours is handled by partial aggregation and by joins that adaptive execution can split."""
+    Alternating large-star and small-star steps until all edges form stars; each round is written to the shared folder.
+    Edges point from the smaller node to the larger, so a star hangs from the smallest node of its component. A node
+    with very many neighbours is handled by partial aggregation and by joins that adaptive execution can split."""
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    e, before = materialize(e, "edges"), None
-    while True:
-        print_of = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if (now := (print_of.n, print_of.h)) == before or not print_of.n:
-            break
-        before = now
+    e = materialize(e, "edges")
+    while not _stars(e):
         # large star: larger neighbours of u hang from the smallest of u and its neighbours
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -250,6 +247,13 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of the edges (a < b) is either a centre or hangs from just one."""
+    ends = e.select(F.col("a").alias("node"), F.lit(None).cast("bigint").alias("centre")).union(e.select(F.col("b").alias("node"), F.col("a").alias("centre")))
+    node = ends.groupBy("node").agg(F.min("centre").alias("low"), F.max("centre").alias("high"), F.count("centre").alias("hangs"), F.count(F.lit(1)).alias("all"))
+    return not node.where("low <> high OR hangs > 0 AND hangs < all").count()
+
+
 # -- bitmaps: a filter of bounded size in front of an exact join ---------------------------------------------------
 
 BITMAP_MAX_BITS = 1 << 29

@@ -243,8 +243,8 @@ class _Group:
 
 def _open(percent: int, inside: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (g, role, key, bag), members (role 0) before queries. Of all links only those are sent that join what
-        this group's links have not joined yet."""
+        """Rows (g, role, key, bag), members (role 0) before queries. A group sends, for each of the components that its
+        links make, a star: every key beside the smallest."""
         at, keys, bags, group, up, a, b = None, [], [], None, {}, [], []
 
         def root(x: int) -> int:
@@ -255,9 +255,8 @@ def _open(percent: int, inside: bool):
 
         def ask(key: int, bag: np.ndarray) -> None:
             for other in group.similar(bag, percent):
-                if (x := root(key)) != (y := root(group.keys[other])):
-                    up[x] = y
-                    a.append(key), b.append(group.keys[other])
+                x, y = root(key), root(group.keys[other])
+                up[max(x, y)] = min(x, y)
 
         def close() -> None:
             nonlocal group
@@ -265,6 +264,9 @@ def _open(percent: int, inside: bool):
                 group = group or _Group(keys, bags)
                 for k, bag in zip(keys, bags, strict=True):
                     ask(k, bag)
+            for k in list(up):
+                if (r := root(k)) != k:
+                    a.append(k), b.append(r)
 
         for batch in batches:
             for g, role, key, bag in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -406,7 +408,7 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     more = compare(rows, owners.unionByName(owners_2), bags.unionByName(bags_2), False, "links_between")
 
     # components of keys, then of documents
-    whole = components(links.union(more))
+    whole = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     classes = sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("root"), F.min(F.when(F.col("doc_id").isNull(), F.col("owner"))).alias("nameless"))
     joined = whole.join(classes, F.col("node") == F.col("key")).select("key", "component", "root", "nameless")
     roots = joined.join(joined.groupBy("component").agg(F.min("root").alias("least"), F.min("nameless").alias("first")), "component").select("key", "least", "first")
