@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,21 @@ def text_blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
+def settled(kernel: Callable) -> Callable:
+    """A kernel of Arrow batches that gives the memory it has freed back to the machine when its task ends. Spark keeps
+    Python workers for later tasks and stages, so what a worker holds on to adds up to what its executor needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone keeps freed pages
+                trim(0)
+
+    return run
+
+
 # -- hashing -----------------------------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, text_blocks, unused
+from .common import documents, settled, text_blocks, unused
 
 SEGMENT, HIDDEN = 64, 8
 TRAIN_DOCS, WINDOWS, STEPS, BATCH, RATE = 300, 6, 240, 192, 0.02
@@ -235,7 +235,7 @@ def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     carried = [F.col(f"`{c}`") for c in df.columns] if keep else [F.col(id_col).alias("doc_id")]
-    return df.select(F.col(text_col).alias(unused(df, "_text")), letter.alias(unused(df, "_letter")), *carried).mapInArrow(run, schema)
+    return df.select(F.col(text_col).alias(unused(df, "_text")), letter.alias(unused(df, "_letter")), *carried).mapInArrow(settled(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, components, documents, expand, expand_sorted, materialize, mix, sequences, squeeze, squeeze_sorted, text_blocks, words
+from .common import bitmap_of, components, documents, expand, expand_sorted, materialize, mix, sequences, settled, squeeze, squeeze_sorted, text_blocks, words
 
 SIZE, PERCENT = 5, 80
 #: Counters of the frequency sketch: 2**SKETCH_BITS, sent in 16 parts.
@@ -297,7 +297,7 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), _owner(id_col, text_col).alias("owner"), F.col(text_col).alias("text"))
-    first = materialize(texts.mapInArrow(_profile(size), "doc_id bigint, owner bigint, n_shingles bigint, key bigint, part int, counts binary"), "sets")
+    first = materialize(texts.mapInArrow(settled(_profile(size)), "doc_id bigint, owner bigint, n_shingles bigint, key bigint, part int, counts binary"), "sets")
     sets = first.where("part IS NULL").select("doc_id", "owner", "n_shingles", "key")
 
     counts = np.zeros((16, (1 << SKETCH_BITS) // 16), np.uint64)
@@ -322,7 +322,7 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
                     lengths = [len(o) for o in out]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.repeat(np.array(keys, np.int64), lengths))], ["code", "n", "key"])
 
-    postings = texts.select("text").mapInArrow(post, "code bigint, n int, key bigint").repartition(parts, "code").sortWithinPartitions("code", "n", "key")
+    postings = texts.select("text").mapInArrow(settled(post), "code bigint, n int, key bigint").repartition(parts, "code").sortWithinPartitions("code", "n", "key")
     shared = materialize(postings.mapInArrow(_lead(percent), "code bigint, key bigint, n bigint, leader bigint, lead_n bigint"), "shared")
 
     def bags_of(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -347,12 +347,12 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(bags, pa.binary())], ["owner", "key", "bag"])
 
         slot = F.pmod(F.xxhash64("owner"), F.lit(width))
-        return owners, materialize(texts.select("owner", "text", slot.alias("slot")).mapInArrow(bag, "owner bigint, key bigint, bag binary"), name)
+        return owners, materialize(texts.select("owner", "text", slot.alias("slot")).mapInArrow(settled(bag), "owner bigint, key bigint, bag binary"), name)
 
     def compare(rows: DataFrame, owners: DataFrame, bags: DataFrame, inside: bool, name: str) -> DataFrame:
         """Links found by opening groups (g) of members (role 0) for themselves or for queries (role 1)."""
         dealt = rows.join(owners, "key").join(bags, ["owner", "key"]).select("g", "role", "key", "bag").repartition(parts, "g").sortWithinPartitions("g", "role", "key")
-        return materialize(dealt.mapInArrow(_open(percent, inside), "a bigint, b bigint"), name)
+        return materialize(dealt.mapInArrow(settled(_open(percent, inside)), "a bigint, b bigint"), name)
 
     # groups of keys that share a leader
     met = shared.groupBy("key", "n", "leader", "lead_n").agg(F.count(F.lit(1)).alias("c"))
@@ -390,7 +390,7 @@ def _classes(df: DataFrame, size: int, percent: int, id_col: str, text_col: str)
     lists = lists.withColumn("side", F.pmod(F.xxhash64("g"), sides).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     block = F.xxhash64("code", F.least("side", "other"), F.greatest("side", "other"))
     lists = lists.select(block.alias("block"), "g", F.when(F.col("side") == F.col("other"), -1).otherwise(F.col("side")).alias("side"), "low", "high", "most", "inn")
-    meets = lists.repartition(parts, "block").sortWithinPartitions("block", "g").mapInArrow(_meet(percent), "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
+    meets = lists.repartition(parts, "block").sortWithinPartitions("block", "g").mapInArrow(settled(_meet(percent)), "g bigint, q bigint, shared bigint").groupBy("g", "q").agg(F.sum("shared").alias("shared"))
     of = lambda c: group.select(F.col("g").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("low", "high", "size", "home")])
     sized = meets.where("shared > 0").join(of("g"), "g").join(of("q"), "q")
     fits = F.col("shared") >= least_shared(F.least("g_low", "q_low"), F.greatest("g_high", "q_high"), percent)

@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_blocks
+from .common import documents, settled, text_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 TIERS = (256, 512, 1024, 2048)
 EOS_ID = 1
 STEP_WINDOWS = 8
 FLUSH_TOKENS = 128 * 2048
-#: Distinct words of at most LONGEST characters whose ids a Python worker remembers; the memory is emptied when full.
+#: Distinct words of at most LONGEST characters whose ids a task remembers; the memory is emptied when full.
 REMEMBERED, LONGEST = 300_000, 64
 
 #: Texts of these characters only are split into words here; any other text goes to the tokenizer whole.
@@ -99,6 +99,11 @@ class Coder:
         self.word = Memory(lambda w: array("I", merge(w)).tobytes()).__getitem__
         self.stretch = Memory(self.after_space).__getitem__
 
+    def forget(self) -> None:
+        """Empty both memories."""
+        for short in (self.word, self.stretch):
+            short.__self__.clear()
+
     def by_tokenizer(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -217,7 +222,7 @@ def pack(df: DataFrame, tokenizer: str = TOKENIZER, tiers: tuple[int, ...] = TIE
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = coder(tokenizer, plain).encode, Packer(tiers)
+        coding, packer = coder(tokenizer, plain), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
         windows_out, groups_out, pending = 0, 0, 0
 
@@ -240,7 +245,7 @@ def pack(df: DataFrame, tokenizer: str = TOKENIZER, tiers: tuple[int, ...] = TIE
             ids_of, texts = batch.column(0), batch.column(1)
             for lo, hi, _, _ in text_blocks(texts):
                 for doc_id, text in zip(ids_of.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist(), strict=True):
-                    ids = encode(text or "") + eos
+                    ids = coding.encode(text or "") + eos
                     packer.add(doc_id, ids)
                     pending += len(ids) // 4
                 if pending >= FLUSH_TOKENS:
@@ -249,8 +254,9 @@ def pack(df: DataFrame, tokenizer: str = TOKENIZER, tiers: tuple[int, ...] = TIE
                     yield from emit()
         packer.finish()
         yield from emit()
+        coding.forget()
 
-    return df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(settled(run), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
