@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -275,6 +275,25 @@ def _stars(e: DataFrame) -> bool:
 BITMAP_MAX_BITS = 1 << 29
 
 
+def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with a column near: false only if the long key is none of the wanted ones.
+
+    The keys' bitmap, about 16 bits a key and BITMAP_MAX_BITS at most, is broadcast in pieces of 4 KB; built-in expressions only."""
+    bits = min(BITMAP_MAX_BITS, 1 << max(16, math.ceil(math.log2(16 * max(1, wanted.count())))))
+    slot = F.pmod(key, F.lit(bits)) + 1
+    pieces = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+    at = rows.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot").cast("int"))
+    bit = F.expr("shiftright(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) AS int), _at % 8) & 1 = 1")
+    return at.join(F.broadcast(pieces), "_bucket", "left").withColumn("near", F.coalesce(bit, F.lit(False))).drop("_bucket", "_bits", "_slot", "_at")
+
+
+def parted(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose long key is none of the wanted ones, rows that an exact join has to decide), with the columns of df.
+    ``wanted`` has the one column ``key``. What few rows are joined, the others are not shuffled for, at any size."""
+    rows = marked(df.select(F.struct("*").alias("row"), key.alias("key")), "key", wanted)
+    return rows.where("NOT near").select("row.*"), rows.where("near").select("row.*")
+
+
 def bitmap_of(keys: DataFrame, column: str, hashed: bool = False) -> tuple[np.ndarray, int]:
     """A bitmap of long keys by their hash (or by themselves, if they are hashes): about 16 bits a key and 64 MB at
     most, or-ed together on the executors. It has no false negatives; past the bound more false positives pass,

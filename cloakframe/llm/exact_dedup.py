@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, unused
+from .common import documents, materialize, parted, unused
 
 #: A digest with more than 1/HOT_SHARE of a batch's rows is hot; there are fewer than HOT_SHARE of them in any batch.
 HOT_SHARE = 1000
@@ -94,20 +94,21 @@ def classify(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
 def deduplicate(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of a batch that stay, with all their columns.
 
-    What goes is joined by id and digest: a table of known size, so the planner broadcasts it when it is small and
-    sort-merges otherwise. Rows that repeat id and text of a row that stays are told from it by nothing, so only those
-    few are gathered, and one of each is taken."""
+    What goes is looked up by id and digest. Rows that a bitmap tells to stay are never shuffled, so the texts that are
+    grow with what goes, whichever join the planner takes. Rows that repeat id and text of a row that stays are told from
+    it by nothing, so only those few are gathered, and one of each is taken."""
     name, digest = unused(df, "_id"), unused(df, "_digest")
     found = materialize(_classified(df, index, id_col, text_col), "decided")
     by_pair = materialize(found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("NOT kept OR n > 1"), "by_pair")
     pair = lambda rows: rows.select(F.col("doc_id").alias(name), F.col("digest").alias(digest))
     gone, again = pair(by_pair.where("NOT kept")), pair(by_pair.where("kept"))
-    same = df[id_col].eqNullSafe(F.col(name)) & (digest_of(df[text_col]) == F.col(digest))
-    left = df.join(gone, same, "left_anti")
+    rest, some = parted(df, F.xxhash64(F.col(id_col), digest_of(text_col)), by_pair.select(F.xxhash64("doc_id", "digest").alias("key")))
+    same = some[id_col].eqNullSafe(F.col(name)) & (digest_of(some[text_col]) == F.col(digest))
+    left = some.join(gone, same, "left_anti")
     if again.isEmpty():
-        return left
+        return rest.unionByName(left)
     once = left.join(again, same, "left_semi").withColumn(digest, digest_of(text_col)).dropDuplicates([id_col, digest]).drop(digest)
-    return left.join(again, same, "left_anti").unionByName(once)
+    return rest.unionByName(left.join(again, same, "left_anti")).unionByName(once)
 
 
 def fresh_index(spark: SparkSession) -> DigestIndex:

@@ -14,20 +14,17 @@ Defined results
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
+from .common import marked as _marked
 
 #: A boundary falls after a line whose rolling hash is 0 modulo DIVISOR: chunks have about DIVISOR lines.
 DIVISOR = 3
 #: Factor and modulus of the rolling hash over two neighbouring lines; products stay far below 2**63 in any engine.
 FACTOR, MODULUS = 31, 1000003
 MIN_LINES = 2
-#: Most bits of a broadcast filter in front of an exact join: 64 MB.
-MOST_BITS = 29
 
 
 def line_hash(line: Column) -> Column:
@@ -55,18 +52,6 @@ def chunk_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return ends.select("row_key", "doc_id", "is_null", pieces.alias("pieces"))
 
 
-def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """rows with a column near: false only if the long key is none of the wanted ones.
-
-    The keys' bitmap, about 16 bits a key and 2^MOST_BITS bits at most, is broadcast in pieces of 4 KB."""
-    bits = 1 << min(MOST_BITS, max(16, math.ceil(math.log2(16 * max(1, wanted.count())))))
-    slot = F.pmod(key, F.lit(bits)) + 1
-    pieces = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
-    at = rows.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot")).withColumn("_at", F.bitmap_bit_position("_slot").cast("int"))
-    bit = F.expr("shiftright(cast(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10) AS int), _at % 8) & 1 = 1")
-    return at.join(F.broadcast(pieces), "_bucket", "left").withColumn("near", F.coalesce(bit, F.lit(False))).drop("_bucket", "_bits", "_slot", "_at")
-
-
 def _few(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Left-semi join on a long hash that spares the shuffle most rows: first by the bitmap, then exactly."""
     return _marked(rows, key, wanted).where("near").drop("near").join(wanted, key, "left_semi")

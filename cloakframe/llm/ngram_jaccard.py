@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, components, documents, expand, expand_sorted, materialize, mix, sequences, settled, squeeze, squeeze_sorted, text_blocks, words
+from .common import bitmap_of, components, documents, expand, expand_sorted, materialize, mix, parted, sequences, settled, squeeze, squeeze_sorted, text_blocks, words
 
 SIZE, PERCENT = 5, 80
 #: Counters of the frequency sketch: 2**SKETCH_BITS, sent in 16 parts.
@@ -425,10 +425,11 @@ def similarity_components(df: DataFrame, size: int = SIZE, percent: int = PERCEN
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows that stay when one document of each component does, with all columns: the one with the smallest id, or
-    if no row of a component has an id, the text with the smallest hash."""
+    if no row of a component has an id, the text with the smallest hash. Rows that a bitmap tells to stay are never shuffled."""
     found = _classes(df, size, percent, id_col, text_col)
     gone = materialize(found.where("NOT stays").select(F.col("doc_id").isNull().alias("_nameless"), F.col("owner").alias("_gone")).distinct(), "near_copies")
-    return df.join(gone, (df[id_col].isNull() == gone["_nameless"]) & (_owner(id_col, text_col) == gone["_gone"]), "left_anti")
+    rest, some = parted(df, F.xxhash64(F.col(id_col).isNull(), _owner(id_col, text_col)), gone.select(F.xxhash64("_nameless", "_gone").alias("key")))
+    return rest.unionByName(some.join(gone, (some[id_col].isNull() == gone["_nameless"]) & (_owner(id_col, text_col) == gone["_gone"]), "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
