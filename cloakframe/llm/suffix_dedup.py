@@ -28,7 +28,6 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +36,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, INVERSE, bitmap_of, documents, in_bitmap, materialize, mix, powers, text_blocks
+from .common import BASE, INVERSE, bitmap_of, documents, in_bitmap, marked, materialize, mix, powers, settled, text_blocks
 
 WINDOW, K = 200, 32
 #: Window starts handled at once; positions fit 20 bits.
 SEGMENT = 1 << 19
-#: Contexts merged at once by a bucket's task.
-MERGE_ROWS = 1 << 15
-#: Contexts sorted at once by a shard.
-SHARD_ROWS = 1 << 16
+#: Bytes of text looked at, contexts merged by a bucket's task, contexts sorted by a shard, and texts cut at once. A worker's
+#: memory grows with them.
+TEXT_BYTES = 1 << 18
+MERGE_ROWS = 1 << 14
+SHARD_ROWS = 1 << 14
+CUT_ROWS = 1 << 9
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def interleave(bucket: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nd
     """(order, lcp): rows by bucket and right context, and the bytes that each shares with the one before (-1: first of
     its bucket). The rows come as runs of shards, every run in this order already; runs are only merged."""
     rows, window = right.shape
-    symbols = np.pad(right, ((0, 0), (0, -window % 4))).view(">u4").astype(np.uint64)
+    symbols = np.pad(right, ((0, 0), (0, -window % 4))).view(">u4").astype(np.uint32)
     sizes = np.bincount(bucket)
     block = (np.cumsum(sizes) - sizes)[bucket]  # place of the block's first row in the merged order
     lcp = np.full(rows, window, np.int32)
@@ -160,7 +161,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
 
     for batch in batches:
-        for _, _, data, offsets in text_blocks(batch.column(0)):
+        for _, _, data, offsets in text_blocks(batch.column(0), TEXT_BYTES):
             held.append(anchors(data, offsets)[2])
             size += len(held[-1])
             if size > 1 << 21:
@@ -180,19 +181,19 @@ def _contexts(bits):
         names = [c.split()[0] for c in CONTEXTS.split(", ")]
         types = [pa.int64()] * 4 + [pa.int32(), pa.int64()] + [pa.int32()] * 3 + [pa.binary()]
         seen: dict[int, int] = {}  # context -> times sent by this task, two at most
-        held: list[tuple[int, bytes, int, int, int, bytes]] = []  # anchor, right context, context, low, high, bytes
+        held: list[tuple[int, int, int, int, bytes]] = []  # anchor, context, low, high, bytes
         shard = TaskContext.get().partitionId() << 32
 
         def run_of_shard() -> pa.RecordBatch:
-            held.sort(key=itemgetter(0, 1))
-            anchor, _, context, low, high, raw = zip(*held, strict=True)
+            held.sort(key=lambda c: (c[0], c[4][c[3] :]))  # by anchor and right context
+            anchor, context, low, high, raw = zip(*held, strict=True)
             columns = [context, np.full(len(held), shard), np.arange(len(held)), anchor, low, high, np.ones(len(held)), raw]
             none = pa.nulls(len(held), pa.int64())
             return pa.RecordBatch.from_arrays([none, none, *(pa.array(c).cast(t) for c, t in zip(columns, types[2:], strict=True))], names)
 
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in text_blocks(batch.column(1)):
+            for lo, _, data, offsets in text_blocks(batch.column(1), TEXT_BYTES):
                 row, at, h, low, high = anchors(data, offsets)
                 ok = np.flatnonzero(in_bitmap(bits.value, h))
                 if not len(ok):
@@ -205,7 +206,7 @@ def _contexts(bits):
                     ids.append(c)
                     if (times := seen.get(c, 0)) < 2:  # a third time would tell nothing new
                         seen[c] = times + 1
-                        held.append((int(h[i]), part[j1:], c, j0, j1, part))
+                        held.append((int(h[i]), c, j0, j1, part))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row]), pa.array(at - offsets[row]), pa.array(ids, pa.int64()), *[pa.nulls(len(ok), t) for t in types[3:]]], names)
                 if len(held) >= SHARD_ROWS:
                     yield run_of_shard()
@@ -259,11 +260,11 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """(row_key, spans): the repeated stretches [begin, end) around anchors, of rows that have any."""
     spark, parts = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = df.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    counted = texts.select("text").mapInArrow(_count, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    counted = texts.select("text").mapInArrow(settled(_count), "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     bits = spark.sparkContext.broadcast(bitmap_of(materialize(counted, "anchors"), "anchor", hashed=True)[0])
-    found = materialize(texts.mapInArrow(_contexts(bits), CONTEXTS), "contexts")
+    found = materialize(texts.mapInArrow(settled(_contexts(bits)), CONTEXTS), "contexts")
     sent = found.where("bytes IS NOT NULL").select("anchor", "shard", "place", "context", "low", "high", "n", "bytes")
-    merged = sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "shard", "place").mapInArrow(_merge_buckets, "context bigint, least int, most int")
+    merged = sent.repartition(parts, "anchor").sortWithinPartitions("anchor", "shard", "place").mapInArrow(settled(_merge_buckets), "context bigint, least int, most int")
     extents = materialize(merged, "extents")
     hits = found.where("bytes IS NULL").select("row_key", "at", "context").join(extents, "context")
     stretch = F.struct((F.col("at") - F.col("most")).alias("begin"), (F.col("at") + WINDOW - F.col("least")).alias("end"))
@@ -288,36 +289,27 @@ def _joined(spans_: list[dict]) -> list[tuple[int, int]]:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, removed, kept): the removed runs and the bytes that stay, for every row.
 
-    Rows without repeats are told by a bitmap and never shuffled."""
+    Rows without repeats are told by a bitmap; they are never shuffled, nor sent to Python."""
     found = materialize(spans(df, id_col, text_col), "spans")
-    bits = df.sparkSession.sparkContext.broadcast(bitmap_of(found, "row_key", hashed=True)[0])
     texts = df.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("bigint").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-
-    def choose(inside: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = in_bitmap(bits.value, batch.column(0).to_numpy(zero_copy_only=False))
-                yield batch.filter(pa.array(hit == inside))
-
-        return run
-
-    kinds = "row_key bigint, doc_id bigint, text binary"
+    texts = marked(texts, "row_key", found)
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    plain = texts.mapInArrow(choose(False), kinds).select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("removed"), F.col("text").alias("kept"))
-    hit = texts.mapInArrow(choose(True), kinds).join(found, "row_key", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
+    plain = texts.where("NOT near").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("removed"), F.col("text").alias("kept"))
+    hit = texts.where("near").join(found, "row_key", "left").select("doc_id", "text", F.coalesce("spans", none).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, kept = [], [], []
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                runs, at, parts = _joined(marks), 0, []
-                for a, b in runs:
-                    parts.append(text[at:a])
-                    at = b
-                sizes.append(len(text)), removed.append([{"begin": a, "end": b} for a, b in runs]), kept.append(b"".join([*parts, text[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
-
-    changed = hit.mapInArrow(cut, "doc_id bigint, n_bytes bigint, removed array<struct<begin:bigint,end:bigint>>, kept binary")
+            for rows in (batch.slice(k, CUT_ROWS) for k in range(0, len(batch), CUT_ROWS)):
+                sizes, removed, kept = [], [], []
+                for text, marks in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                    runs, at, parts = _joined(marks), 0, []
+                    for a, b in runs:
+                        parts.append(text[at:a])
+                        at = b
+                    sizes.append(len(text)), removed.append([{"begin": a, "end": b} for a, b in runs]), kept.append(b"".join([*parts, text[at:]]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+
+    changed = hit.mapInArrow(settled(cut), "doc_id bigint, n_bytes bigint, removed array<struct<begin:bigint,end:bigint>>, kept binary")
     return plain.unionByName(changed)
 
 
